@@ -99,8 +99,9 @@ def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataF
     runs_df = F.broadcast(spark.createDataFrame(runs, "k int, shard int, low long, high long"))
     inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("k", "bucket").orderBy("h", "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = sized.withColumn("inside", inside).join(F.broadcast(starts), ["k", "bucket"]).select("k", "i", "tokens", (F.col("start") + F.col("inside")).alias("at"))
-    # the c-th copy of a text lies c passes further on; it is used while it starts within the wanted size
-    copies = at.join(facts_df, "k").where("wanted > at").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil((F.col("wanted") - F.col("at")) / F.col("available")).cast("int") - 1)))
+    # the c-th copy of a text lies c passes further on; it is used if its middle is within the wanted size
+    room = F.col("wanted") - F.col("at") - F.col("tokens") / 2
+    copies = at.join(facts_df, "k").where(room > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(room / F.col("available")).cast("int") - 1)))
     placed = copies.withColumn("block", F.floor((F.col("at") + F.col("copy") * F.col("available")) / block_tokens)).join(runs_df, "k").where("block >= low AND block < high")
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("i", "copy", F.lit(seed)), "i", "copy"))
     mix = placed.select("shard", place.cast("int").alias("place"), F.col("i").cast(kind).alias(item), "source", F.col("copy").alias("copy"), "tokens")
