@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxelmill.functions.keys import bare_name, entry_code, entry_code_sql
-from voxelmill.llm import cutoffs, group_split, mixing, overlap, spectral, topn, vector_neighbours
+from voxelmill.llm import cutoffs, group_split, mixing, overlap, spectral, stuffing, topn, vector_neighbours
 from voxelmill.llm.bpe import encode_corpus
 from voxelmill.sources.tables import table
 from voxelmill.storage import materialize
@@ -192,8 +192,12 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
