@@ -183,6 +183,11 @@ def weighted_bce(p: Column, y: Column, pos_weight: Column | float) -> Column:
     return -F.when(y == 1, F.ln(q) * pos_weight).otherwise(F.ln(1 - q))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half up, nudged by 1e-9 so that values on a border don't depend on the order of a sum."""
+    return F.round(x + 1e-9, digits)
+
+
 def cell_text(x: Column, digits: int = 6) -> Column:
     """A number as a CSV cell, empty where null."""
     return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit(""))

@@ -108,7 +108,7 @@ def greedy_suppression(items: DataFrame, item: str, order: list[Column], edges:
     ranked = items.select(F.col(item).alias("i"), key.alias("k"))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     links = materialize(both.join(ranked.select(F.col("i").alias("a"), F.col("k").alias("ka")), "a").join(ranked.select(F.col("i").alias("b"), F.col("k").alias("kb")), "b").select("a", "b", (F.col("kb") < F.col("ka")).alias("later")), "links")
-    kept = [items.select(F.col(item).alias("i")).join(links.select(F.col("a").alias("i")), "i", "left_anti")]
+    kept = [materialize(items.select(F.col(item).alias("i")).join(links.select(F.col("a").alias("i")), "i", "left_anti"), "kept")]
     while not links.isEmpty():
         first = materialize(links.groupBy("a").agg(F.max("later").alias("waits")).where("NOT waits").select(F.col("a").alias("i")), "kept")
         kept.append(first)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelmill.functions.expressions import distance2
-from voxelmill.storage import materialize, release
+from voxelmill.storage import materialize
 
 AXES = ("x", "y", "z")
 
@@ -65,33 +65,49 @@ def grow(core: DataFrame, points: DataFrame, group: str, cluster: str, item: str
     return radius_join(left, points.select(group, item, *AXES), group, radius).select(group, cluster, item).distinct()
 
 
+#: Groups of up to so many points are joined whole for queries that the first radius leaves open.
+SMALL_GROUP = 5_000
+
+
 def knn_join(queries: DataFrame, points: DataFrame, group: str, query: str, item: str, k: int, radius: float, exclude: Column | None = None) -> DataFrame:
     """``group, query, item, d2, rank``: the k nearest points of each query, ties by item.
 
-    Within a radius that holds k points, these are the nearest; queries that
-    find fewer go on with twice the radius, until it spans the data.
+    Within a radius that holds k points, these are the nearest. Queries that
+    find fewer meet all points of their group if it is small; in larger groups
+    they go on with twice the radius, until it spans the data.
     """
-    spark = queries.sparkSession
     ends = points.agg(*[f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))]).first()
     reach = 0.0 if ends["lx"] is None else sum((ends[f"h{a}"] - ends[f"l{a}"]) ** 2 for a in AXES) ** 0.5
-    found, todo, first = [], queries, True
     right = points.withColumnRenamed(item, "_item")
-    while True:
-        near = radius_join(todo, right, group, radius, exclude)
-        w = Window.partitionBy(group, query).orderBy("d2", "_item")
-        top = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        top = materialize(top.select(group, query, F.col("_item").alias(item), "d2", "rank"), "knn")
-        last = radius > 2 * reach
+    order = Window.partitionBy(group, query).orderBy("d2", "_item")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return top.select(group, query, F.col("_item").alias(item), "d2", "rank")
+
+    def open_after(asked: DataFrame, top: DataFrame) -> tuple[DataFrame, DataFrame]:
         full = top.where(F.col("rank") == k).select(group, query)
-        found.append(top if last else top.join(full, [group, query], "left_semi"))
-        if last:
-            break
-        left = materialize(todo.join(full, [group, query], "left_anti"), "todo")
-        if not first:
-            release(todo)
-        todo, first, radius = left, False, radius * 2
-        if todo.isEmpty():
+        return top.join(full, [group, query], "left_semi"), materialize(asked.join(full, [group, query], "left_anti"), "open")
+
+    top = materialize(best(radius_join(queries, right, group, radius, exclude)), "knn")
+    done, todo = open_after(queries, top)
+    found = [done]
+    if todo.isEmpty():
+        return done
+    sizes = materialize(points.join(todo.select(group).distinct(), group, "left_semi").groupBy(group).count(), "sizes")
+    small = sizes.where(F.col("count") <= SMALL_GROUP).select(group)
+    far = right.select(*[c for c in right.columns if c not in AXES], *[F.col(a).alias(f"r{a}") for a in AXES])
+    whole = todo.join(small, group, "left_semi").join(far.join(small, group, "left_semi"), group).withColumn("d2", distance2([F.col(a) for a in AXES], [F.col(f"r{a}") for a in AXES]))
+    found.append(best(whole if exclude is None else whole.where(exclude)))
+    todo = materialize(todo.join(small, group, "left_anti"), "open")
+    while not todo.isEmpty():
+        radius *= 2
+        top = materialize(best(radius_join(todo, right, group, radius, exclude)), "knn")
+        if radius > 2 * reach:
+            found.append(top)
             break
+        done, todo = open_after(todo, top)
+        found.append(done)
     return reduce(DataFrame.unionByName, found)
 
 
