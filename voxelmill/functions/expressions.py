@@ -190,7 +190,7 @@ def rounded(x: Column, digits: int) -> Column:
 
 def cell_text(x: Column, digits: int = 6) -> Column:
     """A number as a CSV cell, empty where null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", x), F.lit(""))
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def parse_ratio(spec: Column) -> Column:
