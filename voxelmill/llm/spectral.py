@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelmill.operators.grouped import map_groups
+from voxelmill.operators.kernels import radius_pairs
 from voxelmill.storage import materialize, release
 
 VECTORS = 4
@@ -32,48 +33,6 @@ SAME = 1e-8  # entries of one cluster differ by less once iterated, those of two
 WHOLE = 50_000  # members of a group beyond which it is cut into tiles
 
 
-def radius_pairs(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of one group within the radius, with squared distances: members are sorted by cell, and a cell meets 14 of its 27 neighbours."""
-    n = len(x)
-    if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    cell = np.floor(x / radius)
-    cell -= cell.min(0)
-    cell = cell.astype(np.int64) + 1
-    span = cell.max(0) + 2
-    # cells are numbered by rank, so coordinates of any extent fit
-    key = ((group.astype(object) if float(np.prod(span.astype(float))) * (group.max() + 1) > 2**62 else group.astype(np.int64)) * int(span[0]) + cell[:, 0]) * int(span[1]) + cell[:, 1]
-    key = key * int(span[2]) + cell[:, 2]
-    order = np.argsort(key, kind="stable")
-    keys, first = np.unique(key[order], return_index=True)
-    ends = np.append(first[1:], n)
-    left, right = [], []
-    offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
-    for a, b, c in offsets:
-        wanted = keys + (a * int(span[1]) + b) * int(span[2]) + c
-        at = np.searchsorted(keys, wanted)
-        hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted))
-        at = at[hit]
-        m, o = ends[hit] - first[hit], ends[at] - first[at]
-        total = m * o
-        if not total.sum():
-            continue
-        which = np.repeat(np.arange(len(hit)), total)
-        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        i, j = first[hit][which] + k // o[which], first[at][which] + k % o[which]
-        if (a, b, c) == (0, 0, 0):
-            i, j = i[i < j], j[i < j]
-        i, j = order[i], order[j]
-        d = x[i] - x[j]
-        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-        near = d2 <= radius * radius
-        left.append(i[near]), right.append(j[near]), right.append(d2[near])
-    i = np.concatenate(left) if left else np.empty(0, np.int64)
-    j = np.concatenate(right[0::2]) if right else np.empty(0, np.int64)
-    d2 = np.concatenate(right[1::2]) if right else np.empty(0)
-    return np.minimum(i, j), np.maximum(i, j), d2
-
-
 def embed(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int = 5) -> np.ndarray:
     """``VECTORS`` vectors, iterated until they agree along every affinity.
 
