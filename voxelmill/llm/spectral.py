@@ -115,7 +115,7 @@ def cluster(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray
     # exact check: no affinity joins two clusters
     if (label[i] != label[j]).any():
         raise ArithmeticError("an affinity leaves its cluster")
-    return label, np.bincount(i, w, len(x)) + np.bincount(j, w, len(x))
+    return label, (np.bincount(i, w, len(x)) + np.bincount(j, w, len(x))).astype(float)  # of no pairs, bincount gives integers
 
 
 def group_kernel(radius: float, tiled: bool, table: pa.Table, starts: np.ndarray) -> pa.Table:

@@ -5,8 +5,8 @@ is measured: links, tags, markup and product codes become runs of one sign,
 words other than function words one letter, so that a list compresses to almost
 nothing however many different links or names it holds, while sentences, logs,
 tables and sequences keep their words of grammar, digits and letters. Ratios
-are compared with the median of all blocks of the same language and length,
-and of all languages where that is lower. A
+are compared with the median of all blocks of the same language and length that
+are made of sentences, and with that of all languages where it is lower. A
 block is stuffed if its redundancy is extreme and it holds hardly any
 sentences that end in punctuation, nor data. A page is stuffed if more than
 half of its text lies in such blocks.
@@ -26,7 +26,9 @@ from voxelmill.storage import materialize
 
 BLOCK = 250  # letters
 LENGTHS = (0, 60, 120, 180, 240, 300, 360)  # classes of block lengths that are compared
-LOW_RATIO = 0.75  # of the median ratio of the language, and of all, at this length
+LOW_RATIO = 0.85  # of the median ratio of the language, and of all, at this length
+#: The ratio of sentences, where a length class has none.
+USUAL_RATIO = 0.34
 FEW_SENTENCES = 0.5  # of a block's letters
 FEW_DIGITS = 0.13
 #: Languages whose norms are broadcast (some 60 bytes each); more are joined by shuffle.
@@ -130,18 +132,21 @@ def stuffed_pages(df: DataFrame, item: str, text: str, language: str, low_ratio:
     """``item, share``: pages of which more than half of the letters lie in stuffed blocks, with that share.
 
     Null, empty and blank texts are no such pages; null languages count as
-    ``und``. Repeated rows of an id count once, with the largest share.
+    ``und``. Rows of one id are taken as one text.
     """
     measured = materialize(block_measures(df, item, text, language), "blocks")
     width = F.lit(0)
     for k, least in enumerate(LENGTHS):
         width = F.when(F.col("b.n") >= least, F.lit(k)).otherwise(width)
-    blocks = measured.select("i", "lang", F.monotonically_increasing_id().alias("row"), F.explode("blocks").alias("b")).select("i", "row", "lang", width.alias("width"), "b.*")
-    norms = blocks.groupBy("lang", "width").agg(F.percentile_approx("ratio", 0.5).alias("own"))
-    common = blocks.groupBy("width").agg(F.percentile_approx("ratio", 0.5).alias("common"))  # a row a length class
-    norms = materialize(norms.join(F.broadcast(common), "width").select("lang", "width", F.least("own", "common").alias("median")), "norms")
+    blocks = measured.select("i", "lang", F.explode("blocks").alias("b")).select("i", "lang", width.alias("width"), "b.*")
+    # the norm is that of sentences, so however much of the corpus is stuffed doesn't move it
+    spoken = blocks.where(F.col("sent") >= FEW_SENTENCES)
+    own = spoken.groupBy("lang", "width").agg(F.percentile_approx("ratio", 0.5).alias("own"))
+    common = spoken.groupBy("width").agg(F.percentile_approx("ratio", 0.5).alias("common"))  # a row a length class
+    norms = blocks.select("lang", "width").distinct().join(own, ["lang", "width"], "left").join(F.broadcast(common), "width", "left")
+    norms = materialize(norms.select("lang", "width", F.coalesce(F.least("own", "common"), F.lit(USUAL_RATIO)).alias("median")), "norms")
     if norms.count() <= LISTED:
         norms = F.broadcast(norms)
     stuffed = (F.col("ratio") < low_ratio * F.col("median")) & (F.col("sent") < FEW_SENTENCES) & (F.col("digits") < FEW_DIGITS)
-    pages = blocks.join(norms, ["lang", "width"]).groupBy("row", "i").agg((F.sum(F.when(stuffed, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
-    return pages.where("share > 0.5").groupBy("i").agg(F.max("share").alias("share")).select(F.col("i").alias(item), "share")
+    pages = blocks.join(norms, ["lang", "width"]).groupBy("i").agg((F.sum(F.when(stuffed, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    return pages.where("share > 0.5").select(F.col("i").alias(item), "share")
