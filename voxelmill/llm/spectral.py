@@ -191,7 +191,7 @@ def similarity_clusters(df: DataFrame, group: str, item: str, axes: list[str], s
     if len(large) <= 10_000:
         sizes = F.broadcast(df.sparkSession.createDataFrame([(g,) for g in large], "g string"))
     small = map_groups(rows.join(sizes, "g", "left_anti"), ["g"], partial(group_kernel, radius, False), kinds)
-    big = rows.join(sizes, "g", "left_semi")
+    big = rows.join(sizes, "g", "left_semi").distinct()  # repeated rows collapse before a tile could gather them
     # tiles of ten radii, small enough for any physical density; a member within a radius of another tile is in both
     side, t = 10 * radius, [f"t_{v}" for v in "xyz"]
     spread = big

@@ -319,7 +319,8 @@ def nearest_vectors(df: DataFrame, group: str, item: str, axes: list[str], k: in
         return found(map_groups(points, ["g"], partial(whole_kernel, names, k, paired, {}), kinds))
     sizes = F.broadcast(df.sparkSession.createDataFrame([(g,) for g in large], "g string")) if len(large) <= LISTED else sizes
     small = found(map_groups(points.join(sizes, "g", "left_anti"), ["g"], partial(whole_kernel, names, k, paired, {}), kinds))
-    big = points.join(sizes, "g", "left_semi")
+    # repeated rows collapse before a tile could gather them; later steps read this table instead of the source
+    big = materialize(points.join(sizes, "g", "left_semi").distinct(), "large")
     tiling = _tilings(big, names, whole)
     if len(large) <= LISTED:
         tiling = F.broadcast(tiling)
