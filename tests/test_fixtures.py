@@ -125,6 +125,15 @@ def test_connected_components(spark):
     assert got == {k: find(k) for k in up}
 
 
+@pytest.mark.parametrize("whole", [10**6, 20])
+def test_group_components(spark, whole):
+    rng = random.Random(6)
+    rows = [(f"g{k}", 100 * k + rng.randrange(100), 100 * k + rng.randrange(100)) for k in range(4) for _ in range(15 if k else 70)]
+    df = spark.createDataFrame(rows, "p string, a long, b long")
+    want = {r["id"]: r["component"] for r in graph.connected_components(df).collect()}
+    assert {r["id"]: r["component"] for r in graph.group_components(df, "p", whole).collect()} == want
+
+
 def test_suppression(spark):
     items = spark.createDataFrame([(0, 3.0, 0.0), (1, 2.0, 6.0), (2, 1.0, 13.0)], "id long, score double, x double")
     pairs = items.alias("p").join(items.alias("q"), F.col("p.id") < F.col("q.id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.abs(F.col("p.x") - F.col("q.x")).alias("d"))

@@ -41,6 +41,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(live.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _component_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Components of the edges of many groups at once; nodes of different groups are different."""
+    edges = np.stack([table.column("a").to_numpy(), table.column("b").to_numpy()], 1)
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    both = np.stack([np.repeat(group, 2), edges.ravel()], 1)
+    nodes, at = np.unique(both, axis=0, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = kernels.components(len(nodes), at[:, 0], at[:, 1])
+    return pa.table({"id": nodes[:, 1], "component": nodes[root, 1]})
+
+
+def group_components(edges: DataFrame, group: str, whole: int = 1_000_000) -> DataFrame:
+    """``id, component`` for edges ``a, b`` that never leave their group. Groups of over ``whole`` edges are contracted as a table."""
+    rows = materialize(edges.select(F.col(group).alias("g"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    sizes = rows.groupBy("g").count().where(F.col("count") > whole).select("g")
+    kind = "id long, component long"
+    if sizes.isEmpty():
+        return map_groups(rows, ["g"], _component_kernel, kind)
+    small = map_groups(rows.join(sizes, "g", "left_anti"), ["g"], _component_kernel, kind)
+    return small.union(connected_components(rows.join(sizes, "g", "left_semi")))
+
+
 def _cluster_kernel(radius: float, least: int, table: pa.Table, starts: np.ndarray) -> pa.Table | None:
     ids = table.column("i").to_numpy()
     x = np.stack([table.column(a).to_numpy() for a in AXES], 1)

@@ -69,3 +69,9 @@ def map_groups(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table, np.nd
                 yield from out.to_batches(max_chunksize=100_000)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt to all of them; larger scans are left as they are. For work that costs far more than moving its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -226,7 +226,7 @@ def residue_components(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.knn_graph(_graph_neighbours(spark, sf), "protein_key", "residue_uid", "other", 8.0)
     ids = pos.select("residue_uid")
     inner = edges.join(ids.withColumnRenamed("residue_uid", "a"), "a", "left_semi").join(ids.withColumnRenamed("residue_uid", "b"), "b", "left_semi")
-    label = graph.connected_components(inner.select("a", "b"))
+    label = graph.group_components(inner, "protein_key")
     named = pos.join(label, pos["residue_uid"] == label["id"], "left").withColumn("cluster_id", F.coalesce("component", "residue_uid"))
     total = F.sum("prob")
     surface = F.avg((F.col("rsa") >= 0.2).cast("double"))
