@@ -17,11 +17,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxelmill.operators.grouped import spread
 from voxelmill.storage import materialize
 
 BLOCK = 250  # letters
@@ -52,12 +54,12 @@ de het een en van dat niet met voor op te zijn
 _LINK = re.compile(r"(?:[a-z]+://|www\.)[^\s\"'<>()\[\]]+", re.I)
 _TAG = re.compile(r"#\w+|</?[a-z!][^<>]{0,2000}>|\b[A-Z]{2,6}-\d{3,}\b(?:\s*[|;,\t]\s*\d+[.,]\d\d\b)?")
 _WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?](?=\w)[^.!?。！？\n]*)*[.!?。！？]+")
+_END = re.compile(r"[.!?](?=[\s\"'”»)\]]|$)|[。！？]|\n")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
-def _mask(word: re.Match) -> str:
-    w = word.group()
+@lru_cache(300_000)
+def _mask(w: str) -> str:
     if len(w) >= 25 or (len(w) <= 3 and w.isupper()) or _CJK.match(w):
         return w
     w = w.lower()
@@ -68,20 +70,21 @@ def structure(text: str) -> str:
     """What is compressed in place of the text."""
     text = _LINK.sub(lambda m: "\x01" * len(m.group()), text)
     text = _TAG.sub(lambda m: "\x02" * len(m.group()), text)
-    return _WORD.sub(_mask, text)
+    return _WORD.sub(lambda m: _mask(m.group()), text)
 
 
 def sentence_letters(text: str) -> int:
     """Letters of sentences: at least five words, few of them repeated, with words of grammar, closed by punctuation."""
-    total = 0
-    for m in _SENTENCE.finditer(_TAG.sub("", _LINK.sub("", text))):
-        s = m.group()
+    text = _TAG.sub("", _LINK.sub("", text))
+    total = begin = 0
+    for end in _END.finditer(text):
+        s, begin = text[begin : end.end()], end.end()
+        if end.group() == "\n" or len(s) < 8:
+            continue
         words = [w.lower() for w in _WORD.findall(s)]
-        cjk = len(_CJK.findall(s))
-        if cjk >= 8:
-            if len(set(s)) >= 0.6 * len(s):
-                total += len(s)
-        elif len(words) >= 5 and len(set(words)) >= 0.75 * len(words) and not GLUE.isdisjoint(words):
+        if len(words) >= 5 and len(set(words)) >= 0.75 * len(words) and not GLUE.isdisjoint(words):
+            total += len(s)
+        elif len(_CJK.findall(s)) >= 8 and len(set(s)) >= 0.6 * len(s):
             total += len(s)
     return total
 
@@ -125,7 +128,7 @@ def block_measures(df: DataFrame, item: str, text: str, language: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), values)], names=["i", "lang", "blocks"])
 
     lang = F.lower(F.trim(F.coalesce(F.col(language).cast("string"), F.lit("und")))).alias("lang")
-    return df.where(F.col(item).isNotNull()).select(F.col(item).alias("i"), lang, F.col(text).alias("x")).mapInArrow(run, f"i {kind}, lang string, blocks array<struct<n:int,ratio:float,sent:float,digits:float>>")
+    return spread(df.where(F.col(item).isNotNull()).select(F.col(item).alias("i"), lang, F.col(text).alias("x"))).mapInArrow(run, f"i {kind}, lang string, blocks array<struct<n:int,ratio:float,sent:float,digits:float>>")
 
 
 def stuffed_pages(df: DataFrame, item: str, text: str, language: str, low_ratio: float = LOW_RATIO) -> DataFrame:
