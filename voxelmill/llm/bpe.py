@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelmill.operators.grouped import spread
+
 #: The vocabulary is read on the driver and broadcast (under 1 MB).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how this vocabulary's tokenizer cuts text into words
@@ -191,7 +193,7 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
 
     Null and empty texts give an empty list (0 tokens). Texts are encoded whole,
     without special tokens; strings that spell a special token are ordinary
-    text. No shuffle; rows keep their partition.
+    text. No shuffle, unless the scan has fewer partitions than there are cores.
     """
     held = df.sparkSession.sparkContext.broadcast(_read(vocabulary))
     kind = dict(df.dtypes)[item]
@@ -209,4 +211,4 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
                     out = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], names=[item, "tokens" if count else "ids"])
 
-    return df.select(item, text).mapInArrow(run, f"`{item}` {kind}, " + ("tokens long" if count else "ids array<int>"))
+    return spread(df.select(item, text)).mapInArrow(run, f"`{item}` {kind}, " + ("tokens long" if count else "ids array<int>"))
