@@ -32,12 +32,11 @@ def threshold_counts(df: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     grid = sorted({float(t) for t in thresholds})
     step = sum((F.when(F.col("p") >= t, 1).otherwise(0) for t in grid), F.lit(0))
     bins = df.groupBy(step.alias("step")).agg(F.count(F.when(F.col("y") == 1, 1)).alias("pos"), F.count(F.when(F.col("y") != 1, 1)).alias("neg"))
-    spark = df.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(k + 1, t) for k, t in enumerate(grid)], "k int, t double"))
-    at = bins.join(steps, F.lit(True))
-    above = F.col("step") >= F.col("k")
-    total = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
-    return at.groupBy("t").agg(total("pos", above).alias("tp"), total("neg", above).alias("fp"), total("pos", ~above).alias("fn"), total("neg", ~above).alias("tn"))
+    marks = df.sparkSession.createDataFrame([(k + 1, t) for k, t in enumerate(grid)], "step int, t double").select("step", "t", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    every = marks.union(bins.select("step", F.lit(None).cast("double"), "pos", "neg")).groupBy("step").agg(F.max("t").alias("t"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above, whole = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = every.select("t", F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    return sums.where("t IS NOT NULL").select("t", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
 
 
 def score_steps(df: DataFrame) -> DataFrame:
@@ -46,8 +45,8 @@ def score_steps(df: DataFrame) -> DataFrame:
     Scores are summed by value first; the running sum goes over ranges of
     scores, then inside each, so no task sorts all of them.
     """
-    # a range is told by the first bits of the score, so ranges are few and in order
-    values = df.groupBy("p").agg(F.count(F.when(F.col("y") == 1, 1)).alias("pos"), F.count(F.when(F.col("y") != 1, 1)).alias("neg")).withColumn("part", F.floor(F.col("p") * 1024).cast("int"))
+    # a range is told by the first bits of the score; those outside 0..1 are the first and the last range
+    values = df.groupBy("p").agg(F.count(F.when(F.col("y") == 1, 1)).alias("pos"), F.count(F.when(F.col("y") != 1, 1)).alias("neg")).withColumn("part", F.least(F.greatest(F.floor(F.col("p") * 1024), F.lit(-1)), F.lit(1024)).cast("int"))
     sums = values.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
     before = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # some 1024 rows
     start = F.broadcast(sums.select("part", F.coalesce(F.sum("a").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0")))

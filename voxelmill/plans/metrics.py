@@ -44,6 +44,10 @@ def epoch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return M.threshold_counts(scored(spark, sf), [0.5]).select(*[rounded(v, 6).alias(k) for k, v in out.items()])
 
 
+def _positives(steps: DataFrame) -> int:
+    return steps.agg(F.sum("pos")).first()[0] or 0
+
+
 STEPS = """v AS (SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY p),
 s AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM v)"""
 
@@ -52,8 +56,8 @@ s AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (
 def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Precision and recall at every distinct score."""
     steps = materialize(M.score_steps(scored(spark, sf)), "steps")
-    total = F.broadcast(steps.agg(F.sum("pos").alias("all")))
-    return steps.crossJoin(total).select(F.col("p").alias("score"), "tp", "fp", rounded(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), rounded(F.col("tp") / F.col("all"), 6).alias("recall"))
+    total = F.lit(_positives(steps))
+    return steps.select(F.col("p").alias("score"), "tp", "fp", rounded(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), rounded(F.col("tp") / total, 6).alias("recall"))
 
 
 @query(f"WITH {SCORED}, {STEPS} SELECT round(sum(pos*tp/(tp+fp))/sum(pos), 6) AS average_precision, round(sum(neg*(tp-pos/2))/(sum(pos)*sum(neg)), 6) AS auroc, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(pos)+sum(neg) AS BIGINT) AS n FROM s")
@@ -71,11 +75,11 @@ def pr_trapezoid(spark: SparkSession, sf: str) -> DataFrame:
     The value before a step is known from the step itself: tp - pos of fp - neg.
     """
     steps = materialize(M.score_steps(scored(spark, sf)), "steps")
-    total = F.broadcast(steps.agg(F.sum("pos").alias("all")))
+    total = F.lit(_positives(steps))
     tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     h0 = F.when(tp0 + fp0 == 0, 1.0).otherwise(tp0 / (tp0 + fp0))
     h = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return steps.crossJoin(total).agg(rounded(F.sum(F.col("pos") / F.col("all") * (h + h0) / 2), 6).alias("area"))
+    return steps.agg(rounded(F.sum(F.col("pos") / total * (h + h0) / 2), 6).alias("area"))
 
 
 @query(f"WITH {SCORED}, {_grid(GRID50)}, {CONF}, i AS (SELECT t, CASE WHEN tp+fp+fn = 0 THEN 0.0 ELSE tp/(tp+fp+fn) END AS iou FROM c) SELECT t AS threshold, round(iou, 6) AS iou FROM i ORDER BY iou DESC, t LIMIT 1")
@@ -91,9 +95,8 @@ def best_iou_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def pr_optimal_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """The score with the largest F1, the highest of equals."""
     steps = materialize(M.score_steps(scored(spark, sf)), "steps")
-    total = F.broadcast(steps.agg(F.sum("pos").alias("all")))
-    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all"))
-    return steps.crossJoin(total).agg(F.max(F.struct(f1.alias("f1"), "p")).alias("b")).select(F.col("b.p").alias("threshold"), rounded(F.col("b.f1"), 6).alias("f1"))
+    f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(_positives(steps)))
+    return steps.agg(F.max(F.struct(f1.alias("f1"), "p")).alias("b")).select(F.col("b.p").alias("threshold"), rounded(F.col("b.f1"), 6).alias("f1"))
 
 
 @query(f"WITH {SCORED} SELECT protein_key, round(quantile_cont(p, 0.95), 6) AS p95, round(quantile_cont(p, 0.97), 6) AS p97 FROM scored GROUP BY protein_key")
@@ -157,8 +160,8 @@ def platt_apply(spark: SparkSession, sf: str) -> DataFrame:
 def zscore_transform(spark: SparkSession, sf: str) -> DataFrame:
     """Pocket scores as z-scores."""
     rows = ranked(spark, sf)
-    one = F.broadcast(rows.agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd")))
-    return rows.crossJoin(one).select("pocket_id", rounded(X.z_score(F.col("score"), F.col("mu"), F.col("sd")), 5).alias("z"))
+    one = rows.agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd")).first()
+    return rows.select("pocket_id", rounded(X.z_score(F.col("score"), F.lit(one["mu"]), F.lit(one["sd"])), 5).alias("z"))
 
 
 TP, FP = [0.0, 4.0, 10.0, 18.0, 28.0, 40.0], [5.0, 40.0, 70.0, 90.0, 100.0, 104.0]

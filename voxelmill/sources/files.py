@@ -54,9 +54,9 @@ def index_payload(spark: SparkSession, path: str) -> DataFrame:
 def best_checkpoint(names: DataFrame, name: str = "name", metric: str = "auprc") -> DataFrame:
     """The file name with the largest ``metric=<number>``; the first name where none tells it."""
     value = F.regexp_extract(F.col(name), rf"{metric}[=_]([0-9]+\.?[0-9]*)", 1).try_cast("double")
-    order = F.struct(F.coalesce(value, F.lit(float("-inf"))).alias("v"))
-    best = names.groupBy().agg(F.max(order).alias("m"))
-    return names.withColumn("_v", F.coalesce(value, F.lit(float("-inf")))).crossJoin(F.broadcast(best)).where("_v = m.v").groupBy().agg(F.min(name).alias(name), F.max("_v").alias(metric))
+    rows = names.select(F.col(name).alias("n"), F.coalesce(value, F.lit(float("-inf"))).alias("v"))
+    best = rows.groupBy("v").agg(F.min("n").alias("n")).agg(F.max(F.struct("v", "n")).alias("b"))
+    return best.select(F.col("b.n").alias(name), F.col("b.v").alias(metric))
 
 
 def newest(paths: DataFrame, path: str = "path", changed: str = "mtime") -> DataFrame:
