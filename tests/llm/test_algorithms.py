@@ -332,6 +332,15 @@ def test_split_counts_are_exact():
         assert out.sum(1).max() - out.sum(1).min() <= np.ceil(np.log2(shards)) + 1
 
 
+def test_sizes_fill_up():
+    t = {"a": 1000, "b": 10, "c": 50, "d": 0}
+    w = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 1), "d": (0.4, 9)}
+    assert mixing.plan_sizes(t, w, None) == pytest.approx({"a": 100 / 3, "b": 20, "c": 40 / 3})
+    assert mixing.plan_sizes(t, w, 170) == pytest.approx({"b": 20, "a": 150 * 5 / 7, "c": 150 * 2 / 7})
+    assert mixing.plan_sizes(t, w, 10**6) == {"a": 1000, "b": 20, "c": 50}
+    assert mixing.plan_sizes({}, w, None) == {}
+
+
 def test_mix_sources(spark):
     rng = random.Random(3)
     words = ["pocket", "cavity", "residue", "the", "of", "site", "chain"]

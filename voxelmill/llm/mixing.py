@@ -42,14 +42,25 @@ def split_counts(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 
 def plan_sizes(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None) -> dict[str, float]:
-    """Tokens to take of each source. Weights count among the sources that have texts; ``total`` defaults to the largest mix in which no source falls short."""
+    """Tokens to take of each source. Weights count among the sources that have texts.
+
+    Without a total, the mix is the largest in which no source falls short.
+    With one, what a source can't give goes to the others by their weights.
+    """
     able = {s: w for s, (w, r) in targets.items() if tokens.get(s, 0) > 0 and w > 0 and r > 0}
-    whole = sum(able.values())
     if not able:
         return {}
     most = {s: tokens[s] * targets[s][1] for s in able}
-    size = min(most[s] * whole / w for s, w in able.items()) if total is None else total
-    return {s: min(size * w / whole, most[s]) for s, w in able.items()}
+    whole = sum(able.values())
+    left = min(most[s] * whole / w for s, w in able.items()) if total is None else float(total)
+    out: dict[str, float] = {}
+    while able:
+        scale = left / sum(able.values())
+        short = [s for s, w in able.items() if most[s] < scale * w]
+        for s in short or list(able):
+            out[s] = min(scale * able.pop(s), most[s])
+            left -= out[s]
+    return out
 
 
 def size_texts(df: DataFrame, item: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -62,7 +73,7 @@ def size_texts(df: DataFrame, item: str, text: str, source: str, vocabulary: str
     return first.select("t.i", "t.source", "t.tokens", F.xxhash64("t.i", F.lit(17)).alias("h"))
 
 
-def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataFrame, target_source: str, weight: str, repeats: str, shards: int | None = None, block_tokens: int = 4096, total: float | None = None, seed: int = 23, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataFrame, target_source: str, weight: str, repeats: str, shards: int | None = None, block_tokens: int = 4096, total: float | str | None = None, seed: int = 23, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mix (``shard, place, item, source, copy, tokens``) and its report (``source, target_share, available, wanted, taken, share``).
 
     Source names count tidied (case, padding, ``_`` or space). Null and empty
@@ -70,7 +81,8 @@ def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataF
     used. A text that stands several times is one text, of the source of its
     smallest id. Each is used at most ``repeats`` times; a repeat starts only
     when its source has been passed over whole. Null or non-positive weights
-    or repeats give nothing. Sources without texts are reported with share 0.
+    or repeats give nothing. ``total`` is a number of tokens, ``"corpus"`` for as
+    many as the sources have, or None for the largest mix of exact shares. Sources without texts are reported with share 0.
     """
     spark = df.sparkSession
     rows = targets.select(tidy(F.col(target_source)).alias("s"), F.col(weight).cast("double").alias("w"), F.col(repeats).cast("int").alias("r")).where("s IS NOT NULL AND w > 0 AND NOT isnan(w) AND r > 0").limit(LARGEST + 1).collect()
@@ -86,7 +98,7 @@ def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataF
     before = F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("k", "bucket", before.alias("start"))
     tokens = {names[r["k"]]: r["n"] for r in sums.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    sizes = plan_sizes(tokens, wanted, total)
+    sizes = plan_sizes(tokens, wanted, sum(tokens.values()) if total == "corpus" else total)
     shards = shards or max(SHARDS, int(np.ceil(sum(sizes.values()) / SHARD_TOKENS)))
     counts = np.array([int(np.ceil(sizes.get(s, 0) / block_tokens)) for s in names], np.int64)
     quota = split_counts(counts, shards, np.random.default_rng(seed)) if len(names) else np.zeros((shards, 0), np.int64)
@@ -107,6 +119,6 @@ def mix_sources(df: DataFrame, item: str, text: str, source: str, targets: DataF
     mix = placed.select("shard", place.cast("int").alias("place"), F.col("i").cast(kind).alias(item), "source", F.col("copy").alias("copy"), "tokens")
     taken = copies.groupBy("k").agg(F.sum("tokens").alias("taken"))
     every = facts_df.join(taken, "k", "left").select("source", F.col("weight").alias("target_share"), "available", F.round("wanted", 3).alias("wanted"), F.coalesce("taken", F.lit(0)).alias("taken"))
-    whole = taken.agg(F.sum("taken").alias("all"))
-    report = every.crossJoin(F.broadcast(whole)).select("source", "target_share", "available", "wanted", "taken", F.coalesce(F.col("taken") / F.col("all"), F.lit(0.0)).alias("share"))
+    whole = F.sum("taken").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row a source
+    report = every.withColumn("all", whole).select("source", "target_share", "available", "wanted", "taken", F.when(F.col("all") > 0, F.col("taken") / F.col("all")).otherwise(0.0).alias("share"))
     return mix, report

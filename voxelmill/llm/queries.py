@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxelmill.functions.keys import bare_name, entry_code, entry_code_sql
 from voxelmill.llm import cutoffs, group_split, mixing, overlap, spectral, stuffing, topn, vector_neighbours
@@ -85,7 +85,8 @@ def p3_split(spark: SparkSession, sf: str) -> DataFrame:
 def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     _, dealt = _dealt(spark, sf)
     sums = dealt.groupBy("split").agg(F.sum("size").alias("chains"), F.count("*").alias("groups"))
-    return sums.crossJoin(F.broadcast(sums.agg(F.sum("chains").alias("all")))).select("split", "chains", "groups", F.round(F.col("chains") / F.col("all"), 4).alias("share"))
+    whole = F.sum("chains").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row a split
+    return sums.select("split", "chains", "groups", F.round(F.col("chains") / whole, 4).alias("share"))
 
 
 P3_FOUND = f"""
@@ -180,8 +181,8 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_targets"), "source", "target_weight", "max_repeats")
+def _mix(spark: SparkSession, sf: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_targets"), "source", "target_weight", "max_repeats", total=total)
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,12 +193,21 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p8_corpus_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """As many tokens as the corpus has; sources that can't give their share give all they may."""
+    return _mix(spark, sf, "corpus")[0]
+
+
+def p8_corpus_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf, "corpus")[1]
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, sf, "documents"), "doc_id", "text", "lang").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_corpus_mix, p8_corpus_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
