@@ -21,7 +21,9 @@ def cell(v):
         return "null"
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         v = v.tolist()
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # a whole number with nulls beside it is a float in one of the two
+        return str(int(v)) if v.is_integer() else repr(float(v))
+    return str(v)
 
 
 def rows(df):
