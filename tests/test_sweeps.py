@@ -102,3 +102,27 @@ def test_config_sweep_keeps_settings_without_pockets(spark, tmp_path):
     rows = [(k, "A", k, "A", 1, "GLY", float(k), 0.0, 0.0, 0.9, 1) for k in range(4)]
     got = {(r["threshold"], r["radius"], r["least"]): r for r in catalogue.queries()["config_sweep"](spark, written(spark, tmp_path, rows)).collect()}
     assert len(got) == 18 and got[0.95, 3.0, 3]["pockets"] == 0 and got[0.95, 3.0, 3]["combined"] == 0 and got[0.88, 3.0, 3]["combined"] == 1
+
+
+def test_threshold_sweep_iou_against_brute_force(spark, tmp_path):
+    rows = made_points(8)
+    got = {r["threshold"]: r for r in catalogue.queries()["threshold_sweep_iou"](spark, written(spark, tmp_path, rows)).collect()}
+    sites, means = sites_of(rows), {}
+    for t in (0.88, 0.91, 0.95):
+        pockets = pockets_of(rows, t, 3.0, 3)
+        iou = lambda site, p: len(site & set(p[2])) / len(site | set(p[2]))
+        per = {p: sum(max([iou(s, q) for q in pockets.get(p, [])], default=0) for s, _, _ in own) / len(own) for p, own in sites.items()}
+        means[t] = sum(per.values()) / len({r[1] for r in rows})
+        every = [q for own in pockets.values() for q in own]
+        assert (got[t]["pockets"], got[t]["mean_gt_iou"]) == (len(every), pytest.approx(means[t], abs=2e-6))
+        assert got[t]["mean_score"] == pytest.approx(sum(q[0] for q in every) / len(every), abs=2e-4)
+        assert got[t]["mean_size"] == pytest.approx(sum(len(q[2]) for q in every) / len(every), abs=2e-6)
+    assert len(set(means.values())) == 3 and len(sites) < len({r[1] for r in rows})
+    assert [t for t in got if got[t]["best"]] == [max(means, key=means.get)]
+
+
+def test_threshold_sweep_iou_agrees_with_pockets_ranked(spark, tmp_path):
+    sf = written(spark, tmp_path, made_points(11))
+    scores = [r["score"] for r in catalogue.queries()["pockets_ranked"](spark, sf).collect()]
+    got = next(r for r in catalogue.queries()["threshold_sweep_iou"](spark, sf).collect() if r["threshold"] == 0.88)
+    assert got["pockets"] == len(scores) and got["mean_score"] == pytest.approx(sum(scores) / len(scores), abs=2e-4)

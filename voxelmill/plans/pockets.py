@@ -302,7 +302,7 @@ SELECT t AS threshold, count(*) AS pockets, count(DISTINCT protein_key) AS prote
 
 @query(SWEEP_SQL)
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """The clustering at several thresholds in one job."""
+    """The clustering at several thresholds in one job: cores only; ``threshold_sweep_iou`` has the full pipeline."""
     rows = _sweep(spark, sf, [(t, 3.0, 3) for t in (0.88, 0.91, 0.95)])
     return rows.groupBy("threshold").agg(F.count("*").alias("pockets"), F.countDistinct("protein_key").alias("proteins"), rounded(F.avg("n"), 6).alias("mean_size"), rounded(F.avg("score"), 4).alias("mean_score"))
 
@@ -359,6 +359,40 @@ def _evaluated(ranked: DataFrame, grown: DataFrame, site: DataFrame) -> DataFram
     return rows.select(*SETTING, "pockets", "proteins", "matches", share("hit1", "labelled").alias("recall_at_1"), share("hit3", "labelled").alias("recall_at_3"), share("iou", "matches").alias("mean_iou"), (F.col("matches") / (F.col("pockets") + 1e-8)).alias("precision"))
 
 
+IOU_SWEEP_SQL = f"""WITH RECURSIVE {PTS}, {TRUTH}, t AS (SELECT CAST(unnest([0.88, 0.91, 0.95]) AS DOUBLE) AS t), strong AS (SELECT pts.*, t FROM pts JOIN t ON prob >= t),
+links AS (SELECT a.t, a.point_id AS a, b.point_id AS b FROM strong a JOIN strong b ON a.t = b.t AND a.protein_key = b.protein_key AND {D2} <= 9.0),
+walk AS (SELECT t, point_id AS id, point_id AS reach FROM strong UNION SELECT walk.t, walk.id, links.b FROM walk JOIN links ON walk.t = links.t AND walk.reach = links.a),
+named AS (SELECT t, id, min(reach) AS cluster_id, count(*) AS n FROM walk GROUP BY t, id),
+core AS (SELECT named.t, cluster_id, strong.protein_key, x, y, z FROM named JOIN strong ON named.t = strong.t AND id = point_id WHERE n >= 3),
+grown AS (SELECT DISTINCT a.t, a.protein_key, a.cluster_id, b.point_id, b.prob FROM core a JOIN pts b ON a.protein_key = b.protein_key AND {D2} <= 3.5*3.5),
+pocket AS (SELECT t, protein_key, cluster_id, count(*) AS np, round(sum(prob*prob), 6) AS score FROM grown GROUP BY ALL),
+gs AS (SELECT protein_key, site_id, count(*) AS ng FROM site GROUP BY ALL),
+shared AS (SELECT t, grown.protein_key, cluster_id, site_id, count(*) AS overlap FROM grown JOIN site ON grown.protein_key = site.protein_key AND grown.point_id = site.point_id GROUP BY ALL),
+best AS (SELECT t.t, gs.protein_key, gs.site_id, coalesce(max(overlap / (np + ng - overlap)), 0) AS b FROM gs CROSS JOIN t LEFT JOIN shared ON shared.t = t.t AND shared.protein_key = gs.protein_key AND shared.site_id = gs.site_id LEFT JOIN pocket ON pocket.t = shared.t AND pocket.protein_key = shared.protein_key AND pocket.cluster_id = shared.cluster_id GROUP BY ALL),
+per AS (SELECT t, protein_key, avg(b) AS b FROM best GROUP BY ALL),
+means AS (SELECT t.t, round(sum(coalesce(b, 0)) / count(*), 6) AS mean_gt_iou FROM (SELECT DISTINCT protein_key FROM pts) a CROSS JOIN t LEFT JOIN per ON per.protein_key = a.protein_key AND per.t = t.t GROUP BY t.t),
+made AS (SELECT t, count(*) AS pockets, count(DISTINCT protein_key) AS proteins, round(avg(np), 6) AS mean_size, round(avg(score), 4) AS mean_score FROM pocket GROUP BY t)
+SELECT means.t AS threshold, coalesce(pockets, 0) AS pockets, coalesce(proteins, 0) AS proteins, mean_size, mean_score, mean_gt_iou, row_number() OVER (ORDER BY mean_gt_iou DESC, means.t) = 1 AS best FROM means LEFT JOIN made ON made.t = means.t"""
+
+
+@query(IOU_SWEEP_SQL)
+def threshold_sweep_iou(spark: SparkSession, sf: str) -> DataFrame:
+    """The full pipeline at several thresholds: grown pockets, the mean over all proteins of their sites' best IoU (0 without sites), and the best threshold, the lowest of equals."""
+    thresholds = (0.88, 0.91, 0.95)
+    pts, ranked, grown, site = _swept(spark, sf, thresholds, (3.0,), (3,))
+    sizes = site.groupBy("protein_key", "site_id").agg(F.count("*").alias("ng"))
+    shared = grown.join(site.select("protein_key", "point_id", "site_id"), ["protein_key", "point_id"]).groupBy("protein_key", "threshold", "cluster_id", "site_id").agg(F.count("*").alias("overlap"))
+    pairs = shared.join(ranked.select("protein_key", "threshold", "cluster_id", "sample_points"), ["protein_key", "threshold", "cluster_id"]).join(sizes, ["protein_key", "site_id"])
+    hit = pairs.groupBy("protein_key", "threshold", "site_id").agg(F.max(F.col("overlap") / (F.col("sample_points") + F.col("ng") - F.col("overlap"))).alias("b"))
+    grid = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+    per = sizes.select("protein_key", "site_id", grid).join(hit, ["protein_key", "threshold", "site_id"], "left").groupBy("protein_key", "threshold").agg(F.avg(F.coalesce("b", F.lit(0.0))).alias("b"))
+    means = pts.select("protein_key").distinct().select("protein_key", grid).join(per, ["protein_key", "threshold"], "left").groupBy("threshold").agg(rounded(F.avg(F.coalesce("b", F.lit(0.0))), 6).alias("mean_gt_iou"))
+    made = ranked.groupBy("threshold").agg(F.count("*").alias("pockets"), F.countDistinct("protein_key").alias("proteins"), rounded(F.avg("sample_points"), 6).alias("mean_size"), rounded(F.avg("score"), 4).alias("mean_score"))
+    out = means.join(made, "threshold", "left").fillna(0, ["pockets", "proteins"])
+    first = Window.orderBy(F.desc("mean_gt_iou"), "threshold")  # one row a threshold
+    return out.select("threshold", "pockets", "proteins", "mean_size", "mean_score", "mean_gt_iou", (F.row_number().over(first) == 1).alias("best"))
+
+
 @query()
 def config_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """A grid of thresholds, radii and sizes, each run to ranked pockets and held against the labelled sites; best first by .3 R@1 + .3 R@3 + .2 mean IoU + .2 precision."""
