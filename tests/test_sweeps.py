@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from voxelmill.operators import kernels
 from voxelmill.plans import catalogue
 
 COLUMNS = "point_id long, protein_key string, point_idx int, chain_id string, residue_number int, residue_name string, x double, y double, z double, prob double, label int"
@@ -126,3 +128,19 @@ def test_threshold_sweep_iou_agrees_with_pockets_ranked(spark, tmp_path):
     scores = [r["score"] for r in catalogue.queries()["pockets_ranked"](spark, sf).collect()]
     got = next(r for r in catalogue.queries()["threshold_sweep_iou"](spark, sf).collect() if r["threshold"] == 0.88)
     assert got["pockets"] == len(scores) and got["mean_score"] == pytest.approx(sum(scores) / len(scores), abs=2e-4)
+
+
+def test_hull_volume_takes_grown_members(spark, tmp_path):
+    """Three strong points have no volume; with the weak corner within 3.5 A of one of them they make a tetrahedron, and the far point stays out."""
+    corners = [(0, 0, 0, 0.95), (2, 0, 0, 0.95), (0, 2, 0, 0.95), (0, 0, 3, 0.1), (0, 0, 9, 0.1)]
+    rows = [(k, "A", k, "A", 1, "GLY", float(x), float(y), float(z), p, 0) for k, (x, y, z, p) in enumerate(corners)]
+    got = catalogue.queries()["hull_volume"](spark, written(spark, tmp_path, rows)).collect()
+    assert [(r["cluster_id"], r["volume"]) for r in got] == [(0, pytest.approx(2.0, abs=1e-4))]
+
+
+def test_hull_volume_against_grown_sets(spark, tmp_path):
+    rows = made_points(5)
+    got = {r["cluster_id"]: r["volume"] for r in catalogue.queries()["hull_volume"](spark, written(spark, tmp_path, rows)).collect()}
+    want = {p[1]: kernels.hull_volume(np.array([q[6:9] for q in p[2].values()])) for own in pockets_of(rows, 0.88, 3.0, 3).values() for p in own}
+    assert got.keys() == want.keys() and len(got) > 3
+    assert all(got[k] == (None if want[k] is None else pytest.approx(want[k], abs=1e-3)) for k in want)

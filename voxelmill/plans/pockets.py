@@ -275,8 +275,11 @@ def density_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hull_volume(spark: SparkSession, sf: str) -> DataFrame:
-    """Convex-hull volume of each pocket's core; no SQL."""
-    return graph.hull_volumes(clusters(materialize(points(spark, sf), "points")), "protein_key", "cluster_id").withColumn("volume", rounded(F.col("volume"), 4))
+    """Convex-hull volume of each pocket's grown members; no SQL."""
+    pts = materialize(points(spark, sf), "points")
+    core = materialize(clusters(pts), "core")
+    grown = spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5).join(pts.select("point_id", *spatial.AXES), "point_id")
+    return graph.hull_volumes(grown, "protein_key", "cluster_id").withColumn("volume", rounded(F.col("volume"), 4))
 
 
 def _sweep(spark: SparkSession, sf: str, configs: list[tuple[float, float, int]]) -> DataFrame:
