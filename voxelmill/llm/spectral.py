@@ -90,8 +90,8 @@ def embed(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int = 5) ->
 def k_means(v: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Cluster numbers. Seeds: the members after a gap in the embedding of their group, sorted by its vectors in turn.
 
-    The assignment to these seeds must be a fixed point of Lloyd's rounds: all
-    members lie at the mean of their cluster, up to a tolerance.
+    No Lloyd rounds follow: the assignment to these seeds must already be their
+    fixed point, all members at the mean of their cluster up to a tolerance.
     """
     tolerance = 1e3 * SAME
     label = np.unique(group, return_inverse=True)[1].astype(np.int64)
@@ -134,12 +134,11 @@ def group_kernel(radius: float, tiled: bool, table: pa.Table, starts: np.ndarray
 
 
 def iterate_frames(edges: DataFrame, steps: int = 8) -> DataFrame:
-    """``u, c`` for symmetric unit affinities ``u, v``: the same clustering with vectors kept as DataFrames.
+    """``u, c`` for symmetric unit affinities ``u, v``: connected components by contraction, not power iteration with k-means.
 
-    Every round walks ``steps`` steps from the vectors of the last one; members
-    then within ``SAME`` along all their affinities are settled, and the rest
-    is contracted: members that already agree with their strongest neighbour
-    become one node of the next round's graph.
+    Every round walks ``steps`` steps from a fresh vector and merges each node
+    with the neighbour nearest in it, until no affinity joins two nodes. The
+    vector only gives the order of the merges; the result doesn't depend on it.
     """
     nodes = edges.select("u").distinct()
     label = materialize(nodes.select("u", F.col("u").alias("c")), "nodes")
