@@ -80,6 +80,16 @@ PROSE = (
 )
 
 
+def ordinary(n, seed=6):
+    """Pages of sentences over a vocabulary with Zipf's law: what the norms come from."""
+    rng = random.Random(seed)
+    parts = "b c d f g h l m n p r s t v st tr ch br".split(), "a e i o u ea ou".split(), ["", "n", "r", "s", "l", "d"]
+    words = ["".join(rng.choice(p) for _ in range(max(1, min(4, k.bit_length() // 3))) for p in parts) for k in range(4000)]
+    weights = [1 / (k + 2) for k in range(4000)]
+    say = lambda: " ".join(rng.choices(words, weights, k=rng.randrange(8, 20))).capitalize() + "."
+    return [" ".join(say() for _ in range(rng.randrange(3, 30))) for _ in range(n)]
+
+
 def pages():
     rng = random.Random(2)
     words = ["gene synthesis", "cheap reagents", "assay kit", "pocket finder"]
@@ -113,7 +123,7 @@ def pages():
 
 def test_pages(spark):
     spam, fine = pages()
-    base = [(1000 + k, PROSE[k % 60 :] + PROSE, "en") for k in range(200)]  # what the norms come from
+    base = [(1000 + k, t, "en") for k, t in enumerate(ordinary(200))]
     rows = base + [(k, t, "fr" if n == "french" else None if n == "tags" else "en") for k, (n, t) in enumerate(spam.items())] + [(100 + k, t, "zh" if n == "chinese" else "en") for k, (n, t) in enumerate(fine.items())]
     rows += [(200, None, "en"), (201, "", None), (202, "  \n ", "en"), (203, spam["list"] * 400, "en"), (0, spam["list"], "en"), (None, spam["list"], "en"), (204, "x" * 200_000, "en")]
     df = spark.createDataFrame(rows, "doc long, body string, language string").selectExpr("*", "'a' AS i", "1 AS n", "2 AS share", "'q' AS lang")
@@ -125,7 +135,36 @@ def test_pages(spark):
 
 
 def test_measures():
-    (n, ratio, sentences, digits), *_ = stuffing.measure(PROSE)
-    assert n > 0 and 0.2 < ratio < 0.6 and sentences > 0.9 and digits == 0
-    assert all(m[1] < 0.15 for m in stuffing.measure("gene synthesis, " * 100))
-    assert sum(m[0] for m in stuffing.measure("word " * 1000)) == 5000
+    spoken, poor = stuffing.measure(PROSE * 2)
+    assert len(spoken) > 2 and not poor and all(0 < r[2] < 0.9 for r in spoken)
+    spoken, poor = stuffing.measure("gene synthesis, " * 100)
+    assert not spoken and sum(b[0] for b in poor) == 1600 and all(b[3] < 0.2 for b in poor[1:])
+    assert stuffing.measure("x" * 1000) == ([], [])  # an unbroken run is data
+    a = "One two three four five six. "
+    assert stuffing.sentences(a + "Buy kit online kit now kit. " + a) == [(0, 28), (56, 85)]
+    text = "ab cd\n" * 400
+    edges = stuffing.cut(text)
+    assert edges[0] == 0 and edges[-1] == len(text) and all(text[e] == "\n" for e in edges[1:-1]) and sorted(set(edges)) == edges
+
+
+FOREIGN = {
+    "polish": "Zmierzyliśmy powinowactwo związku w drugim teście i okazało się niższe niż poprzednio. Pętla zamyka się nad ligandem, gdy związany jest jon wapnia, czego nie widzieliśmy w pierwszym przebiegu. Nikt nie wyjaśnił, dlaczego plik etykiet nie wymienia żadnej z tych dwóch reszt.",
+    "turkish": "Bileşiğin ilgisini ikinci bir deneyde ölçtük ve öncekinden daha düşük çıktı. Kalsiyum iyonu bağlandığında halka ligandın üzerine kapanıyor, bunu ilk çalıştırmada görmemiştik. Etiket dosyasının bu iki kalıntıdan neden hiçbirini listelemediğini kimse açıklamadı.",
+    "russian": "Мы измерили сродство соединения во втором опыте, и оно оказалось ниже прежнего. Петля закрывается над лигандом, когда связан ион кальция, чего мы не видели в первом прогоне. Никто не объяснил, почему файл меток не содержит ни одного из этих двух остатков.",
+    "finnish": "Mittasimme yhdisteen affiniteetin toisessa kokeessa, ja se oli aiempaa alhaisempi. Silmukka sulkeutuu ligandin päälle, kun kalsiumioni on sitoutunut, mitä emme nähneet ensimmäisessä ajossa. Kukaan ei ole selittänyt, miksi tiedosto ei mainitse kumpaakaan.",
+    "japanese": "私たちは二回目の実験で化合物の親和性を測定した。カルシウムイオンが結合すると、ループがリガンドの上に閉じる。これは最初の実行では見られなかった。なぜラベルファイルにその残基がないのか、誰も説明していない。",
+}
+
+
+def test_pages_of_other_languages(spark):
+    """No word list: ordinary pages of languages that the corpus hardly has are clean, and keyword lists in them are found."""
+    base = [(1000 + k, t, "en") for k, t in enumerate(ordinary(200))]
+    fine = [(k, t, n[:2] if k % 2 else None) for k, (n, t) in enumerate(FOREIGN.items())]
+    spam = [(100, "tanie odczynniki, zestaw enzymów, tanie odczynniki, Tanie Odczynniki, synteza genów, " * 12, "po"), (101, " ".join(["дешёвые реагенты", "Дешёвые Реагенты", "купить набор", "дешёвые реагенты"][k * k % 4] for k in range(60)), None), (102, "抗体価格、試薬セット、抗体価格、試薬販売、" * 20, "ja")]
+    got = {r["doc"] for r in stuffing.stuffed_pages(spark.createDataFrame(base + fine + spam, "doc long, body string, lang string"), "doc", "body", "lang").collect()}
+    assert got == {100, 101, 102}
+
+
+def test_classes_without_sentences_take_the_usual_ratio(spark):
+    df = spark.createDataFrame([(1, "gene synthesis, " * 100, "en"), (2, "12.5 17.1 18.9 " * 40, "en")], "doc long, body string, lang string")
+    assert [r["doc"] for r in stuffing.stuffed_pages(df, "doc", "body", "lang").collect()] == [1]
