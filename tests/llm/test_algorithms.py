@@ -31,11 +31,11 @@ def brute_top(rows, n):
     for g, i, s, r in rows:
         if g is None or i is None or s is None or s != s:
             continue
-        a, b = once.get((g, i), (-math.inf, None))
-        once[g, i] = (max(a, s), r if b is None else b if r is None else min(b, r))
+        key = (-s, r is None, r or 0, i)
+        once[g, i] = min(once.get((g, i), key), key)
     out = {}
-    for (g, i), (s, r) in once.items():
-        out.setdefault(g, []).append((-s, r is None, r or 0, i))
+    for (g, _), key in once.items():
+        out.setdefault(g, []).append(key)
     return {(g, k[3], place + 1) for g, ks in out.items() for place, k in enumerate(sorted(ks)[:n])}
 
 
@@ -48,6 +48,28 @@ def test_top_n_ties_repeats_nulls(spark):
     assert got == brute_top(rows, 5)
 
 
+def test_top_n_small_heaps(spark, monkeypatch):
+    """Heaps that are merged in many steps, and handed on early, give the same; items may be strings."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(30), f"i{rng.randrange(200)}", rng.choice([0.5, 1.0, rng.random()]), rng.choice([None, 1, 2])) for _ in range(3000)]
+    monkeypatch.setattr(topn, "BATCH", 100)
+    monkeypatch.setattr(topn, "HELD", 50)
+    import pyarrow as pa
+
+    names = ["g", "i", "s", "r"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 70]], pa.schema([("g", pa.int64()), ("i", pa.string()), ("s", pa.float64()), ("r", pa.int64())])) for k in range(0, len(rows), 70)]
+    heaps = list(topn._build(4, iter(batches)))
+    best, place = topn.heap(pa.Table.from_batches(heaps), 4)
+    assert {(g, i, p) for g, i, p in zip(best.column("g").to_pylist(), best.column("i").to_pylist(), place.tolist())} == brute_top(rows, 4)
+    assert len(heaps) > 3
+
+
+def test_top_n_has_one_shuffle(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, 1)], "gr string, it long, sc double, rk int")
+    plan = topn.top_n_per_group(df, "gr", "it", "sc", "rk")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_top_n_empty_and_wrong_n(spark):
     df = spark.createDataFrame([], "gr string, it long, sc double, rk int")
     assert topn.top_n_per_group(df, "gr", "it", "sc", "rk").count() == 0
@@ -262,6 +284,13 @@ def test_cutoffs(spark, finish):
     assert {r["source"]: (r["n"], r["k"], r["cutoff"], r["kept"]) for r in report.collect()} == cuts
 
 
+def test_an_item_of_two_sources_keeps_its_scores_apart(spark):
+    df = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.9), (1, "A ", 0.05), (2, "b", 0.3)], "uid long, src string, pr double")
+    report, kept = cutoffs.cutoffs(df, "src", "uid", "pr", spark.createDataFrame([("a", 1.0), ("b", 1.0)], "s string, w double"), "s", "w")
+    assert {tuple(r) for r in kept.collect()} == {("a", 1, 0.1), ("b", 1, 0.9), ("b", 2, 0.3)}
+    assert {(r["source"], r["n"], r["cutoff"]) for r in report.collect()} == {("a", 1, 0.1), ("b", 2, 0.3)}
+
+
 def test_cutoffs_empty(spark):
     df = spark.createDataFrame([], "uid long, src string, pr double")
     targets = spark.createDataFrame([("a", 0.5)], "s string, w double")

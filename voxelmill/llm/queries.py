@@ -27,8 +27,8 @@ def p1_top_pockets(spark: SparkSession, sf: str) -> DataFrame:
 
 P1 = """
 WITH once AS (
-  SELECT protein_key, pocket_id, max(score) AS score, CAST(min(rank) AS BIGINT) AS rank FROM pockets
-  WHERE protein_key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY protein_key, pocket_id),
+  SELECT DISTINCT ON (protein_key, pocket_id) protein_key, pocket_id, score, CAST(rank AS BIGINT) AS rank FROM pockets
+  WHERE protein_key IS NOT NULL AND pocket_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) ORDER BY protein_key, pocket_id, score DESC, rank ASC NULLS LAST),
 placed AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY protein_key ORDER BY score DESC, rank ASC NULLS LAST, pocket_id) AS INT) AS place FROM once)
 SELECT {} FROM placed WHERE place <= 5"""
