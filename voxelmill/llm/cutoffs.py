@@ -62,7 +62,6 @@ def _pass(values: DataFrame, state: dict) -> dict[int, tuple]:
 
 
 
-
 def _select(values: DataFrame, share: dict[int, float], finish: int) -> dict[int, tuple[int, int, float]]:
     """n, k and the cutoff of every source that has scores."""
     spark = values.sparkSession
@@ -116,9 +115,10 @@ def cutoffs(df: DataFrame, source: str, item: str, score: str, targets: DataFram
     source with a score in 0..1; the cutoff is the k-th highest of these
     scores, k = max(1, floor(n * share)), and every item at or above it is
     kept, ties included. Null, NaN and outlying scores, null items and null
-    sources count nowhere; an item counts once (with its highest score). A
-    source without a share, or whose share is null, gives no row; nor does a
-    source without scores. Sources with several shares have the largest.
+    sources count nowhere; an item counts once in a source, with its highest
+    score there. A source without a share, or whose share is null, gives no
+    row; nor does a source without scores. Sources with several shares have
+    the largest.
     """
     spark = df.sparkSession
     name = lambda c: F.lower(F.trim(F.col(c)))
@@ -131,7 +131,7 @@ def cutoffs(df: DataFrame, source: str, item: str, score: str, targets: DataFram
             continue
         codes = F.broadcast(spark.createDataFrame([(r["source"], t) for t, r in enumerate(rows)], "source string, t int"))
         scored = df.select(name(source).alias("source"), F.col(item).alias("i"), F.col(score).cast("double").alias("p")).where("i IS NOT NULL AND p >= 0 AND p <= 1")
-        once = scored.join(codes, "source").groupBy("i").agg(F.min("t").alias("t"), F.max("p").alias("p"))
+        once = scored.join(codes, "source").groupBy("t", "i").agg(F.max("p").alias("p"))
         values = materialize(once.select("t", "p", "i"), "scores")
         found = _select(values, {t: r["share"] for t, r in enumerate(rows)}, finish)
         cut = F.broadcast(spark.createDataFrame([(t, rows[t]["source"], n, k, float(c)) for t, (n, k, c) in found.items()], "t int, source string, n long, k long, cutoff double"))
