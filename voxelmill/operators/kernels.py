@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
-def radius_pairs(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of one group within the radius, with squared distances.
+#: Candidate pairs that are looked at together.
+PAIRS = 1 << 22
+
+
+def number(*columns: np.ndarray) -> np.ndarray:
+    """A number from 0 for every distinct row of the columns, in their order."""
+    code = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        own = np.unique(c, return_inverse=True)[1]
+        code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    return code
+
+
+def radius_pair_blocks(x: np.ndarray, group: np.ndarray, radius: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs i < j of one group within the radius, with squared distances, in blocks of at most ``most`` candidates.
 
     Points are sorted by cell; each occupied cell meets itself and 13 of the 26
-    cells around it.
+    cells around it. Memory grows with the points, never with their pairs.
     """
-    n, none = len(x), np.empty(0, np.int64)
+    n, most = len(x), most or PAIRS
     if n < 2:
-        return none, none, np.empty(0)
+        return
     cell = np.floor(x / radius)
     cell = (cell - cell.min(0)).astype(np.int64) + 1
     span = [int(v) for v in cell.max(0) + 2]
@@ -23,7 +38,6 @@ def radius_pairs(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.nd
     order = np.argsort(key, kind="stable")
     keys, first = np.unique(key[order], return_index=True)
     ends = np.append(first[1:], n)
-    found = []
     around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
     for a, b, c in around:
         wanted = keys + ((a * span[1] + b) * span[2] + c)
@@ -31,23 +45,29 @@ def radius_pairs(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.nd
         hit = np.flatnonzero((at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == wanted))
         at = at[hit]
         here, there = ends[hit] - first[hit], ends[at] - first[at]
-        total = here * there
-        if not total.sum():
-            continue
-        which = np.repeat(np.arange(len(hit)), total)
-        k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-        i, j = first[hit][which] + k // there[which], first[at][which] + k % there[which]
-        if (a, b, c) == (0, 0, 0):
-            i, j = i[i < j], j[i < j]
-        i, j = order[i], order[j]
-        d = x[i] - x[j]
-        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
-        near = d2 <= radius * radius
-        found.append((i[near], j[near], d2[near]))
+        last = np.cumsum(here * there)
+        total = int(last[-1]) if len(last) else 0
+        for low in range(0, total, most):
+            k = np.arange(low, min(low + most, total))
+            which = np.searchsorted(last, k, "right")
+            k -= last[which] - here[which] * there[which]
+            i, j = first[hit[which]] + k // there[which], first[at[which]] + k % there[which]
+            if (a, b, c) == (0, 0, 0):
+                i, j = i[i < j], j[i < j]
+            i, j = order[i], order[j]
+            d = x[i] - x[j]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            near = d2 <= radius * radius
+            i, j, d2 = i[near], j[near], d2[near]
+            yield np.minimum(i, j), np.maximum(i, j), d2
+
+
+def radius_pairs(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of ``radius_pair_blocks``."""
+    found = list(radius_pair_blocks(x, group, radius))
     if not found:
-        return none, none, np.empty(0)
-    i, j, d2 = (np.concatenate(v) for v in zip(*found))
-    return np.minimum(i, j), np.maximum(i, j), d2
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(v) for v in zip(*found))
 
 
 def components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
