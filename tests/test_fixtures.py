@@ -102,8 +102,8 @@ def test_radius_kernel_in_small_blocks():
     rng = np.random.default_rng(3)
     x, g = rng.normal(size=(300, 3)) * 4, rng.integers(0, 2, 300)
     whole = kernels.radius_pairs(x, g, 2.0)
-    blocks = list(kernels.radius_pair_blocks(x, g, 2.0, 64))
-    assert len(blocks) > 50 and all(len(b[0]) <= 64 for b in blocks)
+    blocks = list(kernels.radius_pair_blocks(x, g, 2.0, 16))
+    assert len(blocks) > 50 and all(len(b[0]) <= 16 for b in blocks)
     assert {*zip(*(np.concatenate(v).tolist() for v in zip(*blocks)))} == {*zip(*(v.tolist() for v in whole))}
     assert kernels.number(np.array([5, 5, 1, 1]), np.array([2.0, 1.0, 2.0, 2.0])).tolist() == [2, 1, 0, 0]
 
