@@ -343,6 +343,50 @@ def test_similarity_clusters(spark):
     assert spectral.similarity_clusters(df.limit(0), "k", "pt", ["x", "y", "z"], "pr").count() == 0
 
 
+def test_clusters_come_from_the_vectors(monkeypatch):
+    """With noise in place of the iterated vectors there are no clusters to be had, in groups as in blocks of tiles."""
+    x = np.stack([np.arange(40) * 1.5, np.zeros(40), np.zeros(40)], 1)
+    node, i, j, w, _ = spectral.affinities(x, np.zeros(40, np.int64), 3.0)
+    n = int(node.max()) + 1
+    assert len(set(spectral.cluster(n, i, j, w, np.zeros(n, np.int64)))) == 1
+    monkeypatch.setattr(spectral, "embed", lambda n, i, j, w, seed=5: np.random.default_rng(seed).random((n, spectral.VECTORS)))
+    with pytest.raises(ArithmeticError):
+        spectral.cluster(n, i, j, w, np.zeros(n, np.int64))
+    monkeypatch.setattr(spectral, "embed", lambda n, i, j, w, seed=5: np.ones((n, spectral.VECTORS)))
+    assert len(set(spectral.cluster(n, i[:0], j[:0], w[:0], np.zeros(n, np.int64)))) == 1  # vectors that don't differ can't part clusters
+
+
+def test_lloyd_rounds_move_members():
+    """From seeds at gaps, members go to the nearest centre of their group until none moves."""
+    v = np.zeros((6, spectral.VECTORS))
+    v[:, 0] = [0.0, 0.1, 0.2, 0.9, 1.0, 0.15]
+    group = np.array([0, 0, 0, 0, 0, 1])
+    label = spectral.k_means(v, group)
+    assert len(set(label)) == 6
+    spread = np.concatenate([np.linspace(0, 1, 5) * 1e-7, 0.5 + np.linspace(0, 1, 5) * 1e-7])
+    v = np.stack([spread] * spectral.VECTORS, 1)
+    label = spectral.k_means(v, np.zeros(10, np.int64))
+    assert len(set(label[:5])) == len(set(label[5:])) == 1 and label[0] != label[9]
+
+
+def test_crowds_cost_no_memory_for_pairs(monkeypatch):
+    """Points of one place are one node, and their pairs come in blocks; affinities are exact."""
+    from voxelmill.operators import kernels
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(400, 3)) * 0.3, rng.normal(size=(400, 3)) * 0.3 + [2.9, 0, 0], [[40.0, 0, 0]]])
+    monkeypatch.setattr(kernels, "PAIRS", 500)
+    monkeypatch.setattr(spectral, "PAIRS", 50)
+    group = np.zeros(len(x), np.int64)
+    node, i, j, w, total = spectral.affinities(x, group, 3.0)
+    assert node.max() < 60 and len(i) < 400
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    want = np.where(d2 <= 9, np.exp(-d2 / 18), 0).sum(1) - 1
+    assert np.allclose(total, want)
+    label = spectral.cluster(int(node.max()) + 1, i, j, w, np.zeros(node.max() + 1, np.int64))[node]
+    assert len(set(label[:800])) == 1 and label[800] != label[0]
+
+
 def test_typical_members_have_the_largest_affinity(spark):
     rows = [("g", 1, 0.0, 0.0, 0.0, 0.9), ("g", 2, 2.0, 0.0, 0.0, 0.9), ("g", 3, 4.0, 0.0, 0.0, 0.9), ("g", 4, 6.0, 0.0, 0.0, 0.9)]
     df = spark.createDataFrame(rows, "k string, pt long, x double, y double, z double, pr double")

@@ -4,16 +4,16 @@ Members of a group are joined by affinities exp(-d^2 / 2 r^2) wherever they lie
 within a radius r. The random-walk matrix of the affinities is applied to
 several random vectors until they no longer differ along any affinity; they are
 then constant on every cluster and, having random starts, differ between
-clusters. k-means on the embedding, seeded wherever it has a gap, gives the
-clusters, and members are ranked by their affinity to their own cluster. The
-polynomial of the walk is Chebyshev's, so long thin clusters need a number of
-steps in proportion to their length instead of its square.
+clusters. k-means on the embedding, with Lloyd rounds from seeds at its gaps,
+gives the clusters, and members are ranked by their affinity to their own
+cluster. The polynomial of the walk is Chebyshev's, so long thin clusters need
+a number of steps in proportion to their length instead of its square.
 
 An affinity never leaves its group, so a task iterates the blocks of many
 groups at once and no step needs a shuffle. Groups beyond a size are cut into
-tiles that overlap by the radius; the clusters of tiles that share members are
-then nodes of a second, far smaller affinity graph, whose vectors are iterated
-as DataFrames.
+tiles that overlap by the radius. Clusters of tiles that share members are the
+nodes of a second affinity graph, which is clustered in the same way in blocks
+of tiles that grow from level to level.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelmill.operators.grouped import map_groups
-from voxelmill.operators.kernels import radius_pairs
+from voxelmill.operators.kernels import PAIRS, number, radius_pair_blocks
 from voxelmill.storage import materialize, release
 
 VECTORS = 4
-SAME = 1e-8  # entries of one cluster differ by less once iterated, those of two by far more
+SAME = 1e-8  # entries joined by an affinity differ by less once iterated
+GAP = 1e-6  # those of one cluster too, those of two by far more in some vector
+TILE = ("tx", "ty", "tz")
 WHOLE = 50_000  # members of a group beyond which it is cut into tiles
 
 
@@ -87,84 +89,164 @@ def embed(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, seed: int = 5) ->
     return v
 
 
+def seeds(v: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """First clusters: runs of the embedding of a group without a gap in any of its vectors, which are sorted in turn until nothing splits."""
+    label = np.unique(group, return_inverse=True)[1].astype(np.int64)
+    found = 0
+    while label.max(initial=-1) + 1 > found:
+        found = label.max() + 1
+        for c in range(v.shape[1]):
+            order = np.lexsort((v[:, c], label))
+            new = np.ones(len(v), bool)
+            new[1:] = (label[order][1:] != label[order][:-1]) | (np.diff(v[order, c]) > GAP)
+            label[order] = np.cumsum(new) - 1
+    return label
+
+
 def k_means(v: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Cluster numbers. Seeds: the members after a gap in the embedding of their group, sorted by its vectors in turn.
+    """Cluster numbers: Lloyd rounds from ``seeds`` until no member changes to another centre of its group.
 
-    No Lloyd rounds follow: the assignment to these seeds must already be their
-    fixed point, all members at the mean of their cluster up to a tolerance.
+    Only centres whose first entry differs from a member's by no more than the
+    distance to its present centre can be nearer, so few are looked at.
     """
-    tolerance = 1e3 * SAME
-    label = np.unique(group, return_inverse=True)[1].astype(np.int64)
-    for c in range(v.shape[1]):
-        order = np.lexsort((v[:, c], label))
-        new = np.ones(len(v), bool)
-        new[1:] = (label[order][1:] != label[order][:-1]) | (np.diff(v[order, c]) > tolerance)
-        label[order] = np.cumsum(new) - 1
-    count = np.bincount(label)
-    centre = np.stack([np.bincount(label, v[:, c]) / count for c in range(v.shape[1])], 1)
-    if np.abs(v - centre[label]).max(initial=0) > tolerance:
-        raise ArithmeticError("two clusters share a place in the embedding")
-    return label
+    label = seeds(v, group)
+    while True:
+        label = np.unique(label, return_inverse=True)[1]
+        count = np.bincount(label)
+        centre = np.stack([np.bincount(label, v[:, c]) / count for c in range(v.shape[1])], 1)
+        owner = np.zeros(len(count), np.int64)
+        owner[label] = group
+        step = float(np.ptp(v[:, 0])) + 4 if len(v) else 4.0
+        key = owner * step + centre[:, 0]
+        order = np.argsort(key, kind="stable")
+        reach = np.sqrt(((v - centre[label]) ** 2).sum(1)) + 1e-9
+        at = group * step + v[:, 0]
+        low, high = np.searchsorted(key[order], at - reach), np.searchsorted(key[order], at + reach, "right")
+        n = high - low
+        begin = np.cumsum(n) - n
+        who = np.repeat(np.arange(len(v)), n)
+        which = order[np.arange(len(who)) - begin[who] + low[who]]
+        d2 = ((v[who] - centre[which]) ** 2).sum(1)
+        best = np.lexsort((which != label[who], d2, who))[begin]  # of equals the present one
+        new = which[best] if len(v) else label
+        if (new == label).all():
+            return label
+        label = new
+
+
+def cluster(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Cluster numbers of n nodes with affinities. An affinity that leaves its cluster, or two clusters in one place of the embedding, call for other start vectors."""
+    for seed in (5, 6, 7):
+        v = embed(n, i, j, w, seed)
+        label = k_means(v, group)
+        low = np.full((label.max(initial=-1) + 1, VECTORS), np.inf)
+        high = -low
+        np.minimum.at(low, label, v)
+        np.maximum.at(high, label, v)
+        if not (label[i] != label[j]).any() and (high - low).max(initial=0) <= GAP:
+            return label
+    raise ArithmeticError("the embedding does not tell the clusters apart")
 
 
-def cluster(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster number and internal affinity of every member."""
-    i, j, d2 = radius_pairs(x, group, radius)
-    w = np.exp(-d2 / (2 * radius * radius))
-    label = k_means(embed(len(x), i, j, w), group)
-    # exact check: no affinity joins two clusters
-    if (label[i] != label[j]).any():
-        raise ArithmeticError("an affinity leaves its cluster")
-    return label, (np.bincount(i, w, len(x)) + np.bincount(j, w, len(x))).astype(float)  # of no pairs, bincount gives integers
+def affinities(x: np.ndarray, group: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members as nodes: node of each member; affinities ``i, j, w`` of nodes; and each member's sum of affinities.
+
+    Members that share a cell of side radius / sqrt(3) all lie within the radius
+    of each other, so they are one node; two nodes are joined by the strongest
+    affinity of their members. Pairs are formed in blocks and never held, so a
+    crowd within one radius costs time but no memory.
+    """
+    cell = np.floor(x / (radius * 0.57735))
+    node = number(group, *cell.T)
+    m, total, strongest = int(node.max(initial=-1)) + 1, np.zeros(len(x)), [(np.empty(0, np.int64), np.empty(0))]
+    for i, j, d2 in radius_pair_blocks(x, group, radius):
+        w = np.exp(-d2 / (2 * radius * radius))
+        total += np.bincount(i, w, len(x)) + np.bincount(j, w, len(x))
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        out = a != b
+        strongest.append(_strongest(a[out] * m + b[out], w[out]))
+        if sum(len(k) for k, _ in strongest[1:]) > PAIRS:
+            strongest = [_strongest(*(np.concatenate(v) for v in zip(*strongest)))]
+    key, w = _strongest(*(np.concatenate(v) for v in zip(*strongest)))
+    return node, key // max(m, 1), key % max(m, 1), w, total
+
+
+def _strongest(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((-w, key))
+    key, w = key[order], w[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return key[first], w[first]
 
 
 def group_kernel(radius: float, tiled: bool, table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Clusters of the members of whole groups, or of tiles, whose clusters come with their tile."""
     ids = table.column("i").to_numpy()
     x = np.stack([table.column(c).to_numpy() for c in ("x", "y", "z")], 1)
     group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    first = np.unique(np.stack([group, ids]), axis=1, return_index=True)[1]  # repeated rows
+    order = np.lexsort((ids, group))  # repeated rows
+    first = np.sort(order[np.append(True, (np.diff(ids[order]) != 0) | (np.diff(group[order]) != 0))])
     ids, x, group = ids[first], x[first], group[first]
-    label, inner = cluster(x, group, radius)
+    node, i, j, w, inner = affinities(x, group, radius)
+    of_node = np.zeros(node.max() + 1, np.int64)
+    of_node[node] = group
+    label = cluster(len(of_node), i, j, w, of_node)[node]
     least = np.full(label.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
-    cols = {"g": table.column("g").take(pa.array(first)), "i": ids, "c": least[label], "inner": inner, "size": np.bincount(label)[label]}
+    at = pa.array(first)
+    cols = {"g": table.column("g").take(at), "i": ids, "c": least[label], "inner": inner, "size": np.bincount(label)[label]}
     if tiled:
-        cols["core"] = table.column("core").take(pa.array(first))
+        cols |= {c: table.column(c).take(at) for c in ("core", *TILE)}
     return pa.table(cols)
 
 
-def iterate_frames(edges: DataFrame, steps: int = 8) -> DataFrame:
-    """``u, c`` for symmetric unit affinities ``u, v``: connected components by contraction, not power iteration with k-means.
+def block_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """Clusters of the nodes of unit affinities ``u, v`` in blocks of tiles: for each node the least name of its cluster, and where that lies."""
+    u, v = (table.column(c).to_pylist() for c in ("u", "v"))
+    names, node = np.unique(np.array([*u, *v], object), return_inverse=True)
+    block = np.tile(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), 2)
+    both = number(block, node)
+    first = np.unique(both, return_index=True)[1]
+    i, j = both[: len(u)], both[len(u) :]
+    label = cluster(len(first), i, j, np.ones(len(i)), block[first])
+    least = np.full(label.max() + 1, len(names))
+    np.minimum.at(least, label, node[first])
+    chief = np.full(label.max() + 1, -1)
+    is_chief = node[first] == least[label]
+    chief[label[is_chief]] = first[is_chief]
+    place = [pa.chunked_array([*table.column(f"u{c}").chunks, *table.column(f"v{c}").chunks]).take(pa.array(chief[label])) for c in "xyz"]
+    g = table.column("g").take(pa.array(first % len(u)))
+    return pa.table({"g": g, "node": names[node[first]].tolist(), "name": names[least[label]].tolist(), **{f"n{c}": p for c, p in zip("xyz", place)}})
+
 
-    Every round walks ``steps`` steps from a fresh vector and merges each node
-    with the neighbour nearest in it, until no affinity joins two nodes. The
-    vector only gives the order of the merges; the result doesn't depend on it.
+def join_tiles(links: DataFrame) -> DataFrame:
+    """``g, node, name`` for links of nodes that lie in tiles (``g, u, ux, uy, uz, v, vx, vy, vz``): clusters over all tiles of a group.
+
+    The same clustering as in a tile, on the graph of the tiles' clusters: what
+    blocks of 4 x 4 x 4 tiles hold is clustered block by block, its clusters
+    become nodes of the next level, and blocks grow fourfold until no affinity
+    is left. A level keeps only what crosses the blocks of the one before.
     """
-    nodes = edges.select("u").distinct()
-    label = materialize(nodes.select("u", F.col("u").alias("c")), "nodes")
-    live = materialize(edges.select("u", "v").where("u <> v").distinct(), "affinity")
+    live = materialize(links, "links")
+    every = live.select("g", F.col("u").alias("node")).union(live.select("g", "v")).distinct()
+    label = materialize(every.select("g", "node", F.col("node").alias("name")), "nodes")
+    width = 4
     while not live.isEmpty():
-        degree = live.groupBy("u").agg((F.count("*") + 1).alias("deg"))
-        vec = degree.select("u", "deg", ((F.xxhash64("u", F.lit(11)).cast("double") / F.lit(2.0**63)).alias("y")))
-        vec = materialize(vec, "vector")
-        for _ in range(steps):
-            moved = live.join(vec.select(F.col("u").alias("v"), F.col("y").alias("o")), "v").groupBy("u").agg(F.sum("o").alias("o"))
-            after = materialize(vec.join(moved, "u").select("u", "deg", ((F.col("y") + (F.col("o") + F.col("y")) / F.col("deg")) / 2).alias("y")), "vector")
-            release(vec)
-            vec = after
-        # the nearest neighbour in the embedding is in the same cluster: each node takes the least of its own and that one's number
-        y = vec.select("u", "y")
-        near = live.join(y, "u").join(y.select(F.col("u").alias("v"), F.col("y").alias("o")), "v").groupBy("u").agg(F.min(F.struct(F.abs(F.col("y") - F.col("o")).alias("gap"), F.col("v"))).alias("e"))
-        pick = materialize(near.select("u", F.col("e.v").alias("v")), "nearest")
-        back = pick.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        up = materialize(pick.join(back, "v").select("u", F.when((F.col("w") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")), "up")
-        while True:
-            jumped = materialize(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "jump")
-            up = jumped.select("u", "p")
-            if jumped.where("moved").isEmpty():
-                break
-        label = materialize(label.join(up.select(F.col("u").alias("c"), "p"), "c", "left").select("u", F.coalesce("p", "c").alias("c")), "nodes")
-        live = materialize(live.join(up.select("u", F.col("p").alias("pu")), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), "affinity")
+        block = [F.floor(F.col(f"u{c}") / width).alias(f"b{c}") for c in "xyz"]
+        same = reduce(lambda p, c: p & (F.floor(F.col(f"u{c}") / width) == F.floor(F.col(f"v{c}") / width)), "xyz", F.lit(True))
+        kinds = "g string, node string, name string, nx long, ny long, nz long"
+        solved = materialize(map_groups(live.where(same).select("*", *block), ["g", "bx", "by", "bz"], block_kernel, kinds), "solved")
+        old_label, old_live = label, live
+        step = solved.select("g", F.col("node").alias("name"), F.col("name").alias("next"))
+        label = materialize(label.join(step, ["g", "name"], "left").select("g", "node", F.coalesce("next", "name").alias("name")), "nodes")
+        for end in "uv":
+            to = solved.select("g", F.col("node").alias(end), F.col("name").alias("_n"), *(F.col(f"n{c}").alias(f"_{c}") for c in "xyz"))
+            rest = [c for c in old_live.columns if not c.startswith(end) and c != "g"]
+            live = live.join(to, ["g", end], "left").select("g", F.coalesce("_n", end).alias(end), *(F.coalesce(f"_{c}", f"{end}{c}").alias(f"{end}{c}") for c in "xyz"), *rest)
+        live = materialize(live.where("u <> v").distinct(), "links")
+        for done in (old_label, old_live, solved):
+            release(done)
+        width *= 4
     return label
 
 
@@ -191,35 +273,26 @@ def similarity_clusters(df: DataFrame, group: str, item: str, axes: list[str], s
         sizes = F.broadcast(df.sparkSession.createDataFrame([(g,) for g in large], "g string"))
     small = map_groups(rows.join(sizes, "g", "left_anti"), ["g"], partial(group_kernel, radius, False), kinds)
     big = rows.join(sizes, "g", "left_semi").distinct()  # repeated rows collapse before a tile could gather them
-    # tiles of ten radii, small enough for any physical density; a member within a radius of another tile is in both
-    side, t = 10 * radius, [f"t_{v}" for v in "xyz"]
-    spread = big
-    for v in "xyz":
-        spread = spread.withColumn(f"t_{v}", F.explode(F.sequence(F.floor((F.col(v) - radius) / side), F.floor((F.col(v) + radius) / side))))
-    core = reduce(lambda p, v: p & (F.floor(F.col(v) / side) == F.col(f"t_{v}")), "xyz", F.lit(True))
-    tiled = materialize(map_groups(spread.withColumn("core", core), ["g", *t], partial(tile_kernel, radius), "g string, i long, node string, inner double, core boolean"), "tiles")
+    # tiles of ten radii, counted from the group's corner; a member within a radius of another tile is in both
+    side = 10 * radius
+    corner = materialize(big.groupBy("g").agg(*(F.min(v).alias(f"o{v}") for v in "xyz")), "corners")
+    cut = big.join(corner, "g")
+    for v, t in zip("xyz", TILE):
+        at = F.col(v) - F.col(f"o{v}") + side  # no tile has a negative number
+        cut = cut.withColumn(t, F.explode(F.sequence(F.floor((at - radius) / side), F.floor((at + radius) / side)))).withColumn(f"home{v}", F.floor(at / side) == F.col(t))
+    cut = cut.select("g", "i", *"xyz", *TILE, F.expr("homex AND homey AND homez").alias("core"))
+    tiled = map_groups(cut, ["g", *TILE], partial(group_kernel, radius, True), kinds + ", core boolean, " + ", ".join(f"{t} long" for t in TILE))
+    tiled = materialize(tiled.select("g", "i", "inner", "core", *TILE, F.concat_ws("|", *TILE, "c").alias("node")), "tiles")
     shared = tiled.join(tiled.groupBy("g", "i").agg(F.count("*").alias("n")).where("n > 1").select("g", "i"), ["g", "i"])
-    home = shared.where("core").select("g", "i", F.col("node").alias("u"))
-    links = home.join(shared.where("NOT core").select("g", "i", F.col("node").alias("v")), ["g", "i"]).select("u", "v").distinct()
-    label = iterate_frames(links.union(links.select("v", "u")))
-    own = tiled.where("core").join(label.select(F.col("u").alias("node"), F.col("c").alias("name")), "node", "left").select("g", "i", "inner", F.coalesce("name", "node").alias("node"))
+    end = lambda x: [F.col("node").alias(x), *(F.col(t).alias(f"{x}{c}") for t, c in zip(TILE, "xyz"))]
+    links = shared.where("core").select("g", "i", *end("u")).join(shared.where("NOT core").select("g", "i", *end("v")), ["g", "i"]).drop("i").distinct()
+    own = tiled.where("core").join(join_tiles(links), ["g", "node"], "left").select("g", "i", "inner", F.coalesce("name", "node").alias("node"))
     own = materialize(own, "members")
     named = own.groupBy("g", "node").agg(F.min("i").alias("c"), F.count("*").alias("size"))
+    release(tiled)
     return out(small).union(out(own.join(named, ["g", "node"]).select("g", "i", "c", "inner", "size")))
 
 
-def tile_kernel(radius: float, table: pa.Table, starts: np.ndarray) -> pa.Table:
-    """As ``group_kernel``, for tiles; node names a tile's cluster. The affinity of a core member is whole: all within a radius of it is in its tile."""
-    out = group_kernel(radius, True, table, starts)
-    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    ids = table.column("i").to_numpy()
-    first = np.unique(np.stack([group, ids]), axis=1, return_index=True)[1]
-    t = [table.column(f"t_{v}").take(pa.array(first)).to_pylist() for v in "xyz"]
-    g = out.column("g").to_pylist()
-    node = [f"{a}|{p}|{q}|{r}|{c}" for a, p, q, r, c in zip(g, *t, out.column("c").to_pylist())]
-    return pa.table({"g": out.column("g"), "i": out.column("i"), "node": node, "inner": out.column("inner"), "core": out.column("core")})
-
-
 def describe_clusters(members: DataFrame, group: str, item: str, typical: int = 3) -> DataFrame:
     """``cluster_id, group, size, typical``: each cluster with its most typical members, those of the largest affinity to it (ties: smaller id)."""
     place = F.row_number().over(Window.partitionBy(group, "cluster_id").orderBy(F.desc("affinity"), item))
