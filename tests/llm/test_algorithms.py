@@ -398,13 +398,27 @@ def test_typical_members_have_the_largest_affinity(spark):
 
 
 def test_split_counts_are_exact():
-    rng = np.random.default_rng(1)
     for counts, shards in (([7, 0, 30, 1], 8), ([1], 5), ([0, 0], 3), ([1000, 1], 7)):
-        out = mixing.split_counts(np.array(counts), shards, rng)
+        out = mixing.split_counts(np.array(counts), shards, 1)
         assert out.sum(0).tolist() == counts and out.min() >= 0
         assert out.sum(1).max() - out.sum(1).min() <= np.ceil(np.log2(shards)) + 1
 
 
+def test_branches_grown_in_tasks_are_those_of_the_whole_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BRANCHES", 5)
+    counts = np.array([7, 0, 30, 1, 200])
+    want = mixing.split_counts(counts, 37, 4)
+    rows = mixing.shard_runs(spark, counts, 37, 4).collect()
+    got = np.zeros_like(want)
+    for r in rows:
+        got[r["shard"], r["k"]] = r["high"] - r["low"]
+    assert (got == want).all()
+    for k in range(5):  # runs of a source follow each other and leave nothing out
+        runs = sorted((r["low"], r["high"]) for r in rows if r["k"] == k)
+        assert [a for a, _ in runs] == [0, *[b for _, b in runs]][:-1] or not runs
+        assert (runs[-1][1] if runs else 0) == counts[k]
+
+
 def test_sizes_fill_up():
     t = {"a": 1000, "b": 10, "c": 50, "d": 0}
     w = {"a": (0.5, 1), "b": (0.3, 2), "c": (0.2, 1), "d": (0.4, 9)}
@@ -423,7 +437,7 @@ def test_mix_sources(spark):
     docs += [(10**6, docs[0][1], "big_one"), (10**6 + 1, None, "mid"), (10**6 + 2, "", "mid"), (10**6 + 3, "text", None), (10**6 + 4, "other", "no target"), (10**6 + 5, docs[5][1], "mid"), docs[7]]
     targets = [("BIG ONE", 0.5, 1), ("small one", 0.3, 3), ("mid", 0.2, 2), ("absent", 0.1, 4), ("bad", None, 1)]
     df = clash(spark.createDataFrame(docs, "id long, body string, src string"), ["i", "x", "source", "tokens", "k", "h", "shard", "copy"])
-    mix, report = mixing.mix_sources(df, "id", "body", "src", spark.createDataFrame(targets, "s string, w double, r int"), "s", "w", "r", shards=4, block_tokens=64)
+    mix, report = mixing.mix_sources(df, "id", "body", "src", spark.createDataFrame(targets, "s string, w double, r int"), "s", "w", "r", shards=4, block_tokens=64, total=None)
     rows, told = mix.collect(), {r["source"]: r for r in report.collect()}
     assert set(told) == {"big_one", "small_one", "mid", "absent"}
     assert told["absent"]["share"] == 0
@@ -440,7 +454,7 @@ def test_mix_sources(spark):
     assert all(len([r for r in rows if text[r["id"]] == text[i]]) <= caps[source[i]] for i in list(source)[:60])
     assert {r["shard"] for r in rows} == {0, 1, 2, 3}
     assert {(r["shard"], r["place"]) for r in rows} == {(s, p + 1) for s in range(4) for p in range(sum(r["shard"] == s for r in rows))}
-    again = mixing.mix_sources(df, "id", "body", "src", spark.createDataFrame(targets, "s string, w double, r int"), "s", "w", "r", shards=4, block_tokens=64)[0]
+    again = mixing.mix_sources(df, "id", "body", "src", spark.createDataFrame(targets, "s string, w double, r int"), "s", "w", "r", shards=4, block_tokens=64, total=None)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
@@ -451,6 +465,40 @@ def test_mix_fixed_total_reports_shortfall(spark):
     assert report["b"]["taken"] == 2 * report["b"]["available"] and report["b"]["share"] < 0.5
 
 
+def test_corpus_mix_on_the_table(spark):
+    """Shares of the whole mix at sf0.01 against sizes by another encoder: each source within half its largest text of what its weight or its repeats allow."""
+    import base64
+    import tiktoken
+    from voxelmill.llm import bpe, queries
+    from voxelmill.functions.keys import tidy
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.VOCABULARY, "rb"))}
+    judge = tiktoken.Encoding("judge", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    texts = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", tidy(F.col("source")).alias("s")).orderBy("doc_id").collect():
+        if r["text"] and r["s"]:
+            texts.setdefault(r["text"], (r["doc_id"], r["s"]))
+    goal = {r["s"]: (r["target_weight"], r["max_repeats"]) for r in spark.read.parquet(f"{sf}/mix_targets.parquet").select("*", tidy(F.col("source")).alias("s")).collect()}
+    size = {i: (s, len(judge(t))) for t, (i, s) in texts.items() if s in goal}
+    have = {s: sum(n for q, n in size.values() if q == s) for s in goal}
+    want = mixing.plan_sizes(have, goal, sum(have.values()))
+    report = {r["source"]: r for r in queries.p8_shares(spark, sf).collect()}
+    rows = queries.p8_mix(spark, sf).collect()
+    for s in goal:
+        largest = max([n for q, n in size.values() if q == s], default=0)
+        assert report[s]["available"] == have[s] and abs(report[s]["taken"] - want.get(s, 0)) <= largest / 2 + 1
+        assert report[s]["taken"] == sum(r["tokens"] for r in rows if r["source"] == s)
+        assert report[s]["share"] + report[s]["shortfall"] >= goal[s][0] / sum(w for w, _ in goal.values()) - 1e-9
+    uses = {}
+    for r in rows:
+        assert size[r["doc_id"]] == (r["source"], r["tokens"])
+        uses.setdefault(r["doc_id"], set()).add(r["copy"])
+    assert len(rows) == sum(map(len, uses.values())) and all(c == set(range(len(c))) and len(c) <= goal[size[i][0]][1] for i, c in uses.items())
+    assert sum(r["tokens"] for r in rows) > 0.95 * sum(have.values())
+
+
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "id long, body string, src string")
     targets = spark.createDataFrame([("a", 0.5, 1)], "s string, w double, r int")

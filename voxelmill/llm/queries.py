@@ -181,11 +181,12 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _mix(spark: SparkSession, sf: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, sf: str, total: str | None = "corpus") -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_targets"), "source", "target_weight", "max_repeats", total=total)
 
 
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """As many tokens as the corpus has; sources that can't give their share give all they may."""
     return _mix(spark, sf)[0]
 
 
@@ -193,13 +194,13 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-def p8_corpus_mix(spark: SparkSession, sf: str) -> DataFrame:
-    """As many tokens as the corpus has; sources that can't give their share give all they may."""
-    return _mix(spark, sf, "corpus")[0]
+def p8_exact_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest mix in which every source that has texts has its share."""
+    return _mix(spark, sf, None)[0]
 
 
-def p8_corpus_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return _mix(spark, sf, "corpus")[1]
+def p8_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf, None)[1]
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -207,7 +208,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_corpus_mix, p8_corpus_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
