@@ -127,6 +127,42 @@ def test_near_sequences_against_brute_force(spark, alphabet):
     assert got == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(20, 90))
+def test_prefixes_of_near_texts_meet(seed, n):
+    """Any two texts within their allowed edits share a shingle of both prefixes, at positions within the edits."""
+    rng = random.Random(seed)
+    a = "".join(rng.choice("ACDEF"[: rng.choice([1, 2, 5])]) for _ in range(n))
+    b = a
+    while len(b) < 20 or b == a:
+        b = mutate(rng, a, rng.randint(1, n // 10))
+    allowed = max(len(a), len(b)) // 10
+    if edits(a, b) > allowed or min(len(a), len(b)) < 18:
+        return
+    found = []
+    for t in (a, b):
+        number, position, code = overlap.shingles([t], 5)
+        order = np.lexsort((position, code, code % np.uint64(97)))
+        position, code = position[order], code[order]
+        m = overlap.prefix(position, code, 5, int(overlap._reach(np.array([len(t)]), 10)[0]))
+        found.append({*zip(code[:m].tolist(), position[:m].tolist())})
+    assert any(c == d and abs(p - q) <= allowed for c, p in found[0] for d, q in found[1])
+
+
+def test_classes_and_report(spark):
+    long = "ACDEFGHIKLMNPQRSTVWY" * 3
+    train = spark.createDataFrame([(1, "1abc_A", long), (2, "2abc", long), (3, "3abc", None), (4, "4abc", "WWWW"), (5, "9zzz", long[:-2])], "row long, pid string, rs string")
+    evaluation = spark.createDataFrame([(11, "x", long.lower() + "*"), (12, "1ABC:B", "Y" * 40), (13, "y", long[1:]), (14, None, None), (15, "zz", "wwww"), (16, "zz", "VVVV")], "row long, pid string, rs string").selectExpr("*", "'val' AS split", "if(row = 16, null, ' Lab ') AS src")
+    pairs, members = overlap.near_classes(train, evaluation, "row", "rs")
+    assert {tuple(r) for r in pairs.collect()} == {(1, 1), (5, 1), (1, 13), (5, 13), (4, 4)}
+    assert {(r["class"], r["r"]) for r in members.collect()} == {(1, 1), (1, 2), (1, 11), (5, 5), (12, 12), (13, 13), (4, 4), (4, 15), (16, 16)}
+    named = overlap.entry_classes(train, evaluation, "row", "pid")
+    assert {tuple(r) for r in named[0].collect()} == {("1abc", "1abc")}
+    hits = overlap.overlapping(pairs, members).union(overlap.overlapping(*named))
+    report = {(r["source"], r["records"], r["overlapping"]) for r in overlap.overlap_report(hits, evaluation, "row", "split", "src").collect()}
+    assert report == {("lab", 5, 4), (None, 1, 0)}
+
+
 def test_cross_split_pairs(spark):
     long = "ACDEFGHIKL" * 8
     train = [(1, "sets/x/1abc_A.pdb", long), (2, "PDB_0000ZZZ9_B.cif.gz", None), (3, None, "  " + long.lower()[:40] + "\n" + long[40:] + "*"), (4, "no entry", ""), (5, None, None), (6, "a.001.001.001_4towi1qdb.pdb", "* *")]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -188,6 +189,12 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
+@lru_cache(2)
+def encoder(vocabulary: bytes) -> Encoder:
+    """One encoder a worker process, with the words it knows already."""
+    return Encoder(vocabulary)
+
+
 def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABULARY, count: bool = False) -> DataFrame:
     """``item, ids`` of every row; with ``count``, ``item, tokens``, the number of ids.
 
@@ -199,11 +206,11 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
     kind = dict(df.dtypes)[item]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        own = encoder(held.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                ids = encoder.encode(part.column(1).to_pylist())
+                ids = own.encode(part.column(1).to_pylist())
                 if count:
                     out = pa.array([len(x) for x in ids], pa.int64())
                 else:

@@ -1,11 +1,17 @@
 """Same or near-same records across splits.
 
-Sequences whose edit distance is at most t share, among the first q*t + 1 of
-their q-letter shingles in any fixed order, at least one, at positions that
-differ by at most t. In order of rarity these prefixes are selective: prefixes
-of the evaluation records are the index, those of the training records probe
-it, lengths and positions filter, and the distance itself verifies. Records
-too short for that are matched by what is left of them after one deletion.
+One edit destroys a q-letter shingle only if it falls into it. Of sequences
+within t edits, any set of shingles that needs t + 1 edits to be destroyed,
+such as t + 1 that don't overlap, has one left in the other sequence, at a
+position that differs by at most t. Shingles are taken in order of their
+rarity until t + 1 of those taken lie apart: these prefixes are short and
+selective. Prefixes of the evaluation records are the index, those of the
+training records probe it, lengths and positions filter, and the distance
+itself verifies. Records too short for that are matched by what is left of them
+after one deletion.
+
+Copies are compared once: results are pairs of classes with their members, and
+whoever wants pairs of records expands them.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelmill.functions.keys import entry_code
+from voxelmill.operators.grouped import spread
 from voxelmill.storage import materialize
 
 SHINGLE = 5
@@ -75,6 +82,22 @@ def _class_counts(texts: DataFrame, q: int) -> np.ndarray:
     return counts
 
 
+def prefix(position: np.ndarray, code: np.ndarray, q: int, edits: int) -> int:
+    """How many shingles, in their order, hold ``edits`` + 1 that lie apart; all of the last one's code count."""
+    taken, apart = bytearray(int(position.max()) + q), 0
+    for m, p in enumerate(position.tolist()):
+        if not taken[p]:
+            apart += 1
+            if apart > edits:
+                m += 1
+                while m < len(code) and code[m] == code[m - 1]:
+                    m += 1
+                return m
+            a = max(0, p - q + 1)
+            taken[a : p + q] = b"\1" * (p + q - a)
+    return len(position)
+
+
 def _prefixes(texts: DataFrame, q: int, per: int) -> DataFrame:
     """``sid, len, code, pos, train, eval``: the rarest shingles of every text, as many as an exact match needs."""
     held = texts.sparkSession.sparkContext.broadcast(_class_counts(texts, q))
@@ -90,14 +113,16 @@ def _prefixes(texts: DataFrame, q: int, per: int) -> DataFrame:
                 rare = counts[(code >> np.uint64(20)).astype(np.int64) % CLASSES]
                 order = np.lexsort((position, code, rare, number))
                 number, position, code = number[order], position[order], code[order]
-                first = np.searchsorted(number, np.arange(len(seqs)))
-                keep = np.arange(len(number)) - first[number] < (q * _reach(length, per) + 1)[number]
+                first = np.searchsorted(number, np.arange(len(seqs) + 1))
+                most = _reach(length, per)
+                n = np.array([prefix(position[x:y], code[x:y], q, e) for x, y, e in zip(first[:-1], first[1:], most)], np.int64)
+                keep = np.arange(len(number)) - first[number] < n[number]
                 number, position, code = number[keep], position[keep], code[keep]
                 of = pa.array(number)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(of), pa.array(length[number]), pa.array(code.view(np.int64)), pa.array(position), part.column(2).take(of), part.column(3).take(of)], names=["sid", "len", "code", "pos", "train", "eval"])
 
     long = texts.where(F.length("seq") >= 2 * per - 2)
-    return long.select("sid", "seq", "train", "eval").mapInArrow(run, "sid long, len long, code long, pos long, train boolean, eval boolean")
+    return spread(long.select("sid", "seq", "train", "eval")).mapInArrow(run, "sid long, len long, code long, pos long, train boolean, eval boolean")
 
 
 def near_sequences(texts: DataFrame, q: int = SHINGLE, per: int = PER_EDIT) -> DataFrame:
@@ -124,30 +149,52 @@ def near_sequences(texts: DataFrame, q: int = SHINGLE, per: int = PER_EDIT) -> D
     return near.union(texts.where("train AND eval").select(F.col("sid").alias("t"), F.col("sid").alias("e")))
 
 
-def _records(train: DataFrame, evaluation: DataFrame, row: str, name: str, sequence: str) -> DataFrame:
-    side = lambda df, is_train: df.select(F.col(row).cast("long").alias("r"), entry_code(F.col(name)).alias("entry"), bare_sequence(F.col(sequence)).alias("seq"), F.lit(is_train).alias("train"))
-    return side(train, True).union(side(evaluation, False)).where("r IS NOT NULL")
+def _records(train: DataFrame, evaluation: DataFrame, row: str, key: Column) -> DataFrame:
+    side = lambda df, is_train: df.select(F.col(row).cast("long").alias("r"), key.alias("key"), F.lit(is_train).alias("train"))
+    return side(train, True).union(side(evaluation, False)).where("r IS NOT NULL AND key IS NOT NULL")
 
 
-def cross_split_pairs(train: DataFrame, evaluation: DataFrame, row: str, name: str, sequence: str, q: int = SHINGLE, per: int = PER_EDIT) -> DataFrame:
-    """``row_id_a, row_id_b`` (a < b): a training and an evaluation record that name the same entry or have near-same sequences.
+def near_classes(train: DataFrame, evaluation: DataFrame, row: str, sequence: str, q: int = SHINGLE, per: int = PER_EDIT) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``t, e`` of classes of equal sequences, one with a training and one with an evaluation record, that are near the same, and members ``class, r, train``.
 
-    Nulls match nothing, nor does a sequence of which nothing is left without
-    white space and ``*``. Copies of a sequence are compared once.
+    A class is named after its smallest record and near itself. Nulls match
+    nothing, nor does a sequence of which nothing is left without white space
+    and ``*``.
     """
-    records = materialize(_records(train, evaluation, row, name, sequence).distinct(), "records")
-    texts = records.where("seq IS NOT NULL").groupBy("seq").agg(F.min("r").alias("sid"), F.max("train").alias("train"), F.min("train").alias("only"))
-    texts = materialize(texts.select("sid", "seq", "train", (~F.col("only")).alias("eval")), "texts")
-    near = near_sequences(texts, q, per)
-    named = records.where("seq IS NOT NULL").join(texts.select("seq", "sid"), "seq").select("r", "sid", "train")
-    by_text = near.join(named.where("train").select(F.col("sid").alias("t"), F.col("r").alias("a")), "t").join(named.where("NOT train").select(F.col("sid").alias("e"), F.col("r").alias("b")), "e").select("a", "b")
-    entries = records.where("entry IS NOT NULL")
-    by_entry = entries.where("train").select("entry", F.col("r").alias("a")).join(entries.where("NOT train").select("entry", F.col("r").alias("b")), "entry").select("a", "b")
-    return by_text.union(by_entry).select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b")).distinct()
-
-
-def overlap_report(pairs: DataFrame, evaluation: DataFrame, row: str, split: str, source: str) -> DataFrame:
-    """``split, source, records, overlapping`` of the evaluation records; sources trimmed and lower-case, null kept as a source."""
-    ids = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("r")).distinct().withColumn("hit", F.lit(1))
+    records = materialize(_records(train, evaluation, row, bare_sequence(F.col(sequence))).withColumnRenamed("key", "seq"), "records")
+    texts = records.groupBy("seq").agg(F.min("r").alias("sid"), F.max("train").alias("train"), (~F.min("train")).alias("eval"))
+    texts = materialize(texts, "texts")
+    members = records.join(texts.select("seq", "sid"), "seq").select(F.col("sid").alias("class"), "r", "train")
+    return near_sequences(texts, q, per), members
+
+
+def entry_classes(train: DataFrame, evaluation: DataFrame, row: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The same for records that name one entry: a class is an entry that both sides name."""
+    members = _records(train, evaluation, row, entry_code(F.col(name))).withColumnRenamed("key", "class")
+    members = materialize(members, "named")
+    both = members.groupBy("class").agg(F.min("train").alias("a"), F.max("train").alias("b")).where("a <> b")
+    return both.select(F.col("class").alias("t"), F.col("class").alias("e")), members.select("class", "r", "train")
+
+
+def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``row_id_a, row_id_b`` (a < b): all records of paired classes."""
+    left = members.where("train").select(F.col("class").alias("t"), F.col("r").alias("a"))
+    right = members.where("NOT train").select(F.col("class").alias("e"), F.col("r").alias("b"))
+    return pairs.join(left, "t").join(right, "e").select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
+
+
+def cross_split_pairs(train: DataFrame, evaluation: DataFrame, row: str, name: str, sequence: str, q: int = SHINGLE, per: int = PER_EDIT) -> DataFrame:
+    """``row_id_a, row_id_b`` (a < b): a training and an evaluation record with near-same sequences, or that name the same entry."""
+    return expand(*near_classes(train, evaluation, row, sequence, q, per)).union(expand(*entry_classes(train, evaluation, row, name))).distinct()
+
+
+def overlapping(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``r``: evaluation records whose class is paired; no pair of records is formed."""
+    return members.where("NOT train").join(pairs.select(F.col("e").alias("class")).distinct(), "class", "left_semi").select("r")
+
+
+def overlap_report(hits: DataFrame, evaluation: DataFrame, row: str, split: str, source: str) -> DataFrame:
+    """``split, source, records, overlapping`` of the evaluation records; sources trimmed and lower-case, null kept as a source. hits: ``r``."""
+    ids = hits.distinct().withColumn("hit", F.lit(1))
     rows = evaluation.select(F.col(row).cast("long").alias("r"), F.col(split).alias("split"), F.lower(F.trim(F.col(source))).alias("source")).where("r IS NOT NULL").dropDuplicates(["r"])
     return rows.join(ids, "r", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))

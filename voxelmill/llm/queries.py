@@ -44,7 +44,24 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.overlap_report(p2_found(spark, sf), _evaluation(spark, sf), "row_id", "split_name", "source")
+    train, evaluation = table(spark, sf, "train_ids"), _evaluation(spark, sf)
+    near = overlap.overlapping(*overlap.near_classes(train, evaluation, "row_id", "residue_seq"))
+    named = overlap.overlapping(*overlap.entry_classes(train, evaluation, "row_id", "protein_id"))
+    return overlap.overlap_report(near.union(named), evaluation, "row_id", "split_name", "source")
+
+
+def p2_near_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different sequences, each named after its smallest record."""
+    pairs, _ = overlap.near_classes(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "residue_seq")
+    return pairs.where("t <> e").select(F.col("t").alias("train_class"), F.col("e").alias("eval_class"))
+
+
+def p2_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with a sequence, its class and the number of classes of the other side that are near it, itself included where it stands on both sides."""
+    pairs, members = overlap.near_classes(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "residue_seq")
+    pairs = materialize(pairs, "pairs")
+    links = pairs.groupBy(F.col("t").alias("class")).agg(F.count("*").alias("n")).withColumn("train", F.lit(True)).union(pairs.groupBy(F.col("e").alias("class")).agg(F.count("*").alias("n")).withColumn("train", F.lit(False)))
+    return members.join(links, ["class", "train"], "left").select(F.col("r").alias("row_id"), F.col("class").alias("class_no"), F.coalesce("n", F.lit(0)).alias("links"))
 
 
 P2 = f"""
@@ -57,6 +74,17 @@ pairs AS (
   SELECT t.row_id, e.row_id FROM recs t JOIN recs e ON abs(length(t.seq) - length(e.seq)) <= greatest(length(t.seq), length(e.seq)) // 10
   WHERE t.split = 'train' AND e.split <> 'train' AND levenshtein(t.seq, e.seq) <= greatest(length(t.seq), length(e.seq)) // 10)
 """
+P2_CLASSES = """
+WITH recs AS (
+  SELECT row_id, nullif(upper(regexp_replace(residue_seq, '[\\s*]+', '', 'g')), '') AS seq, train
+  FROM (SELECT *, true AS train FROM train_ids UNION ALL SELECT *, false FROM val_ids UNION ALL SELECT *, false FROM test_ids)),
+class AS (SELECT seq, min(row_id) AS class_no, bool_or(train) AS t, bool_or(NOT train) AS e FROM recs WHERE seq IS NOT NULL GROUP BY seq),
+near AS (SELECT a.class_no AS t, b.class_no AS e FROM class a JOIN class b ON abs(length(a.seq) - length(b.seq)) <= greatest(length(a.seq), length(b.seq)) // 10
+  WHERE a.t AND b.e AND levenshtein(a.seq, b.seq) <= greatest(length(a.seq), length(b.seq)) // 10)
+"""
+P2_NEAR = P2_CLASSES + "SELECT t AS train_class, e AS eval_class FROM near WHERE t <> e"
+P2_MEMBERS = P2_CLASSES + """SELECT row_id, class_no, (SELECT count(*) FROM near WHERE CASE WHEN recs.train THEN near.t ELSE near.e END = class_no) AS links
+FROM recs JOIN class USING (seq)"""
 P2_FOUND = P2 + "SELECT least(t, e) AS row_id_a, greatest(t, e) AS row_id_b FROM pairs"
 P2_REPORT = P2 + """SELECT split, lower(trim(source)) AS source, count(*) AS records, count(*) FILTER (WHERE row_id IN (SELECT e FROM pairs)) AS overlapping
 FROM recs WHERE split <> 'train' GROUP BY 1, 2"""
@@ -208,12 +236,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1.format("protein_key, pocket_id"), "p1_top_pockets": P1.format("protein_key, pocket_id, score, rank, place"),
-        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
+        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_near_classes": P2_NEAR, "p2_members": P2_MEMBERS, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
         "p5_found": P5_FOUND, "p5_cutoffs": P5_CUTOFFS, "p6_found": P6_FOUND,
     }
