@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxelmill.functions.keys import bare_name, entry_code, entry_code_sql
-from voxelmill.llm import cutoffs, group_split, mixing, overlap, spectral, stuffing, topn, vector_neighbours
+from voxelmill.llm import cutoffs, group_split, mixing, overlap, spectral, stuffing, topn, vector_index, vector_neighbours
 from voxelmill.llm.bpe import encode_corpus
 from voxelmill.sources.tables import table
 from voxelmill.storage import materialize
@@ -155,6 +155,25 @@ def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return lists.join(index.select(F.col("point_id").alias("a"), "protein_key", F.col("point_idx").alias("own")), "a").select("protein_key", F.col("own").alias("point_idx"), F.col("n.point_idx").alias("neighbor_idx"), F.col("n.d").alias("neighbor_distances"))
 
 
+def _embedding_index(spark: SparkSession, sf: str) -> vector_index.Index:
+    return vector_index.build_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def p4_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """The three most similar vectors of every twentieth, out of all of ``embeddings``, with as many probes as nine tenths of the true ones take."""
+    index = _embedding_index(spark, sf)
+    probes, _ = vector_index.measure_recall(index, 3)
+    near = vector_index.search_index(index, table(spark, sf, "embeddings").where("vec_id % 20 = 0"), "vec_id", "embedding", 3, probes)
+    return near.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour"), F.round("score", 6).alias("similarity"), "place")
+
+
+def p4_embedding_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Indexed rows, lists, probes and the recall that these reach, measured against brute force."""
+    index = _embedding_index(spark, sf)
+    probes, recall = vector_index.measure_recall(index, 3)
+    return index.rows.agg(F.count("*").alias("rows")).select("rows", F.lit(len(index.book.lists)).alias("lists"), F.lit(probes).alias("probes"), F.lit(recall).alias("recall"))
+
+
 def _cut(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return cutoffs.cutoffs(table(spark, sf, "residues"), "source", "residue_uid", "prob", table(spark, sf, "pocket_config"), "source", "target_prevalence")
 
@@ -236,7 +255,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p4_embeddings, p4_embedding_recall, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
