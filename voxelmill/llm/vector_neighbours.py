@@ -31,6 +31,8 @@ SAMPLE = 4096  # vectors of a task that the codebook is fitted on; all are coded
 CENTRES, BINS = 16, 2048
 #: Rows of a group beyond which it is cut into tiles.
 WHOLE = 20_000
+#: Large groups up to which they are named in the plan.
+NAMED = 200
 #: Large groups up to which their list is broadcast (some 100 bytes each); more are joined by shuffle.
 LISTED = 50_000
 
@@ -283,7 +285,18 @@ def _explode(df: DataFrame, axes: list[str]) -> DataFrame:
     return df
 
 
-def _tilings(big: DataFrame, axes: list[str], whole: int) -> DataFrame:
+def _with_tiling(df: DataFrame, tiling: DataFrame, groups: int) -> DataFrame:
+    """Joins a group's tiling to its rows: as a constant of the plan for few groups, by broadcast for more, by shuffle beyond."""
+    if groups > NAMED:
+        return df.join(F.broadcast(tiling) if groups <= LISTED else tiling, "g")
+    rows = tiling.collect()
+    if not rows:
+        return df.join(tiling, "g")
+    told = [x for r in rows for x in (F.lit(r["g"]), F.struct(*(F.lit(float(r[c])).alias(c) for c in tiling.columns[1:])))]
+    return df.withColumn("_t", F.element_at(F.create_map(*told), F.col("g"))).select(*df.columns, "_t.*")
+
+
+def _tilings(big: DataFrame, axes: list[str], whole: int, groups: int) -> DataFrame:
     """Per large group: its origin and tile side, such that no tile holds over 4 times ``whole`` rows, unless they lie within a millionth of its extent."""
     aggs = [F.count("*").alias("n")] + [f(v).alias(f"{p}_{v}") for v in axes for f, p in ((F.min, "o"), (F.max, "z"))]
     ends = big.groupBy("g").agg(*aggs)
@@ -292,7 +305,7 @@ def _tilings(big: DataFrame, axes: list[str], whole: int) -> DataFrame:
     tiling = materialize(ends.select("g", *(f"o_{v}" for v in axes), F.pow(volume * whole / F.col("n"), F.lit(1 / len(axes))).alias("side"), (extent * 1e-6).alias("least")), "tiling")
     while True:
         cells = [F.floor((F.col(v) - F.col(f"o_{v}")) / F.col("side")).alias(f"t_{v}") for v in axes]
-        full = big.join(tiling, "g").where("side > least").groupBy("g", *cells).count().groupBy("g").agg(F.max("count").alias("most")).where(F.col("most") > 4 * whole)
+        full = _with_tiling(big, tiling, groups).where("side > least").groupBy("g", *cells).count().groupBy("g").agg(F.max("count").alias("most")).where(F.col("most") > 4 * whole)
         full = materialize(full.select("g"), "full")
         if full.isEmpty():
             return tiling
@@ -317,15 +330,16 @@ def nearest_vectors(df: DataFrame, group: str, item: str, axes: list[str], k: in
     found = lambda x: x.select("a", "b", F.col("d").alias("distance"))
     if not large:
         return found(map_groups(points, ["g"], partial(whole_kernel, names, k, paired, {}), kinds))
-    sizes = F.broadcast(df.sparkSession.createDataFrame([(g,) for g in large], "g string")) if len(large) <= LISTED else sizes
-    small = found(map_groups(points.join(sizes, "g", "left_anti"), ["g"], partial(whole_kernel, names, k, paired, {}), kinds))
+    sizes = F.broadcast(df.sparkSession.createDataFrame([(g,) for g in large], "g string")) if NAMED < len(large) <= LISTED else sizes
+    named = len(large) <= NAMED
+    of = lambda x, how: x.where(F.col("g").isin(large) if how == "left_semi" else ~F.col("g").isin(large)) if named else x.join(sizes, "g", how)
+    small = found(map_groups(of(points, "left_anti"), ["g"], partial(whole_kernel, names, k, paired, {}), kinds))
     # repeated rows collapse before a tile could gather them; later steps read this table instead of the source
-    big = materialize(points.join(sizes, "g", "left_semi").distinct(), "large")
-    tiling = _tilings(big, names, whole)
-    if len(large) <= LISTED:
-        tiling = F.broadcast(tiling)
+    big = materialize(of(points, "left_semi").distinct(), "large")
+    tiling = _tilings(big, names, whole, len(large))
+    tiled = lambda x: _with_tiling(x, tiling, len(large))
     tiles = [f"t_{v}" for v in names]
-    placed = big.join(tiling, "g")
+    placed = tiled(big)
     halo = F.col("side") / 8
     spread = _explode(placed.select("*", *_cells(names, halo)), names)
     edge = lambda v, up: F.col(f"o_{v}") + (F.col(f"t_{v}") + up) * F.col("side") + (halo if up else -halo)
@@ -336,7 +350,7 @@ def nearest_vectors(df: DataFrame, group: str, item: str, axes: list[str], k: in
     parts = [found(first.where("b IS NOT NULL"))]
     if not asked.isEmpty():
         # the ball that holds k others, or, where none is known, every tile of the group
-        asked = asked.select("g", F.col("a").alias("i"), *names, "d").join(tiling, "g")
+        asked = asked.select("g", F.col("a").alias("i"), *names, "d").transform(tiled)
         near = (F.col("d") < F.lit(float("inf"))) & (F.col("d") < 4 * F.col("side"))
         balls = _explode(asked.where(near).select("*", *_cells(names, F.col("d") * (1 + 1e-9))), names).select("g", *tiles, "i", *names)
         own = [F.floor((F.col(v) - F.col(f"o_{v}")) / F.col("side")).cast("int").alias(f"t_{v}") for v in names]
