@@ -203,13 +203,14 @@ def groups_of(n, rows):
     return {k: find(k) for k in n}
 
 
-def test_related_groups_and_forest(spark):
+def test_related_groups_and_forest(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.randrange(300), rng.choice([None, *(f"e{k}" for k in range(200))]), rng.choice([None] * 6 + [f"l{k}" for k in range(40)])) for _ in range(260)] + [(None, "e1", "l1")]
     rows += [(1000 + k, f"chain{k // 2}", f"link{(k + 1) // 2}") for k in range(40)]  # a long path
     df = clash(spark.createDataFrame(rows, "no long, entry string, lab string"), ["id", "root", "key", "a", "b", "u", "v"])
     ids = {r[0] for r in rows if r[0] is not None}
-    got = {r["id"]: (r["group_no"], r["size"]) for r in group_split.related_groups(df, "no", ["entry", "lab"]).collect()}
+    groups, kept = group_split.related_groups(df, "no", ["entry", "lab"], str(tmp_path / "forest"))
+    got = {r["id"]: (r["group_no"], r["size"]) for r in groups.collect()}
     want = groups_of(ids, rows)
     sizes = {}
     for g in want.values():
@@ -218,11 +219,12 @@ def test_related_groups_and_forest(spark):
     trees, labels = group_split.spanning_forest(group_split.star_edges(df, "no", ["entry", "lab"]))
     nodes, roots = labels.count(), labels.select("root").distinct().count()
     assert trees.select("a", "b").distinct().count() == trees.count() == nodes - roots
+    assert spark.read.parquet(str(tmp_path / "forest")).count() == kept.count() == nodes - roots
 
 
 def test_related_groups_empty(spark):
     df = spark.createDataFrame([], "no long, entry string, lab string")
-    assert group_split.related_groups(df, "no", ["entry", "lab"]).count() == 0
+    assert group_split.related_groups(df, "no", ["entry", "lab"])[0].count() == 0
 
 
 def test_deal_keeps_groups_and_shares(spark):
@@ -238,6 +240,20 @@ def test_deal_keeps_groups_and_shares(spark):
     assert group_split.deal_groups(df.limit(0), {"train": 0.8, "val": 0.2}).count() == 0
 
 
+def test_split_of_the_table(spark):
+    """Every chain of sf0.1 once, groups whole, shares of chains within a thousandth."""
+    from voxelmill.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = queries.p3_split(spark, sf).toPandas()
+    found = {r["protein_no"]: r["group_no"] for r in queries.p3_found(spark, sf).collect()}
+    assert rows.protein_no.is_unique and len(rows) == spark.read.parquet(f"{sf}/proteins.parquet").select("protein_no").distinct().count()
+    assert (rows.groupby("group_no").split.nunique() == 1).all()
+    assert all(found.get(p, p) == g for p, g in zip(rows.protein_no, rows.group_no))
+    share = rows.split.value_counts(normalize=True)
+    assert abs(share["train"] - 0.8) < 0.001 and abs(share["val"] - 0.1) < 0.001 and abs(share["test"] - 0.1) < 0.001
+
+
 # ---------------------------------------------------------------- p4
 
 
@@ -272,7 +288,7 @@ def test_search_is_exact(n, k, seed, kind):
     assert got == brute_knn(x, k)
 
 
-def test_nearest_vectors_nulls_repeats_and_tiles(spark):
+def test_nearest_vectors_nulls_repeats_and_tiles(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows, truth = [], set()
     for g, n in (("small", 40), ("one", 1), ("two", 2), ("big", 900)):
@@ -284,7 +300,8 @@ def test_nearest_vectors_nulls_repeats_and_tiles(spark):
         truth |= {tuple(sorted((base + a, base + b))) for a, b in brute_knn(x, 3)}
     extra = [rows[5], rows[80], rows[500], ("small", 10**6, None, 1.0, 1.0), ("small", 10**6 + 1, NAN, 1.0, 1.0), (None, 10**6 + 2, 1.0, 1.0, 1.0), ("small", None, 1.0, 1.0, 1.0), ("big", 10**6 + 3, float("inf"), 0.0, 0.0)]
     df = clash(spark.createDataFrame(rows + extra, "k string, pt long, x double, y double, z double"), ["g", "i", "v0", "core", "d", "side", "a", "b", "q"])
-    for whole in (10**6, 60):  # as wholes; in tiles
+    for whole, named in ((10**6, 200), (60, 200), (60, 0)):  # as wholes; in tiles, by constants and by joins
+        monkeypatch.setattr(vector_neighbours, "NAMED", named)
         got = {(r["a"], r["b"]) for r in vector_neighbours.nearest_vectors(df, "k", "pt", ["x", "y", "z"], 3, paired=True, whole=whole).collect()}
         assert got == truth
     assert vector_neighbours.nearest_vectors(df.limit(0), "k", "pt", ["x", "y", "z"]).count() == 0

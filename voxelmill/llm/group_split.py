@@ -67,18 +67,25 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return trees, labels
 
 
-def related_groups(records: DataFrame, record: str, keys: list[str]) -> DataFrame:
-    """``id, group_no, size`` of every record: records that share a key, also through others, form a group named after its smallest record.
-
-    Null keys relate nothing. Repeated rows count once; a record may have rows
-    with different keys, which all count. A record without related ones is a
-    group of its own; rows with a null record are left out.
+def related_groups(records: DataFrame, record: str, keys: list[str], kept: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns ``id, group_no, size`` of every record, and the spanning forest ``round, a, b`` of the groups.
+
+    Records that share a key, also through others, form a group named after its
+    smallest record. Null keys relate nothing. Repeated rows count once; a
+    record may have rows with different keys, which all count. A record without
+    related ones is a group of its own; rows with a null record are left out.
+    The forest has one edge less than a group has records, and tells why they
+    lie together. It is written round by round; ``kept`` names a folder where
+    it stays after the session.
     """
-    _, labels = spanning_forest(star_edges(records, record, keys))
+    forest, labels = spanning_forest(star_edges(records, record, keys))
+    if kept:
+        forest.write.mode("overwrite").parquet(kept)
+        forest = records.sparkSession.read.schema(forest.schema).parquet(kept)
     ids = records.select(F.col(record).alias("id")).where("id IS NOT NULL").distinct()
     rooted = materialize(ids.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("id").alias("group_no"), F.count("*").alias("size"))
-    return rooted.join(names, "root").select("id", "group_no", "size")
+    return rooted.join(names, "root").select("id", "group_no", "size"), forest
 
 
 def deal_groups(groups: DataFrame, shares: dict[str, float], large: int = 1000, buckets: int = 256, seed: int = 7) -> DataFrame:

@@ -90,18 +90,26 @@ P2_REPORT = P2 + """SELECT split, lower(trim(source)) AS source, count(*) AS rec
 FROM recs WHERE split <> 'train' GROUP BY 1, 2"""
 
 
-def _related(spark: SparkSession, sf: str) -> DataFrame:
+def _related(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lab = bare_name(F.col("lab"))
     chains = table(spark, sf, "proteins").select("protein_no", entry_code(F.col("protein_key")).alias("entry"), F.when(~lab.isin(*NO_LAB), lab).alias("lab"))
     return group_split.related_groups(materialize(chains.distinct(), "chains"), "protein_no", ["entry", "lab"])
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _related(spark, sf).where("size > 1").select("group_no", F.col("id").alias("protein_no"))
+    return _related(spark, sf)[0].where("size > 1").select("group_no", F.col("id").alias("protein_no"))
+
+
+def p3_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of at least two by their spanning tree: its edges, all inside the group, and the smallest and largest chain that they touch."""
+    groups, forest = _related(spark, sf)
+    name = groups.select("id", "group_no")
+    ends = forest.join(name.withColumnRenamed("id", "a"), "a").join(name.select(F.col("id").alias("b"), F.col("group_no").alias("other")), "b").where("group_no = other")
+    return ends.groupBy("group_no").agg(F.count("*").alias("edges"), F.min(F.least("a", "b")).alias("least"), F.max(F.greatest("a", "b")).alias("largest"))
 
 
 def _dealt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    chains = materialize(_related(spark, sf), "related")
+    chains = materialize(_related(spark, sf)[0], "related")
     return chains, group_split.deal_groups(chains.select("group_no", "size").distinct(), SHARES)
 
 
@@ -117,7 +125,7 @@ def p3_shares(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select("split", "chains", "groups", F.round(F.col("chains") / whole, 4).alias("share"))
 
 
-P3_FOUND = f"""
+P3 = f"""
 WITH RECURSIVE chains AS (
   SELECT DISTINCT protein_no, {entry_code_sql("protein_key")} AS entry, lower(regexp_replace(lab, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS lab FROM proteins),
 keys AS (
@@ -126,7 +134,9 @@ keys AS (
 edges AS (SELECT DISTINCT a.protein_no AS a, b.protein_no AS b FROM keys a JOIN keys b USING (k)),
 walk AS (SELECT protein_no AS id, protein_no AS reach FROM chains UNION SELECT walk.id, edges.b FROM walk JOIN edges ON walk.reach = edges.a),
 named AS (SELECT id, min(reach) AS group_no, count(*) AS size FROM walk GROUP BY id)
-SELECT group_no, id AS protein_no FROM named WHERE size > 1"""
+"""
+P3_FOUND = P3 + "SELECT group_no, id AS protein_no FROM named WHERE size > 1"
+P3_FOREST = P3 + "SELECT group_no, count(*) - 1 AS edges, min(id) AS least, max(id) AS largest FROM named WHERE size > 1 GROUP BY group_no"
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,12 +265,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_split, p3_shares, p4_found, p4_neighbours, p4_embeddings, p4_embedding_recall, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_forest, p3_split, p3_shares, p4_found, p4_neighbours, p4_embeddings, p4_embedding_recall, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1.format("protein_key, pocket_id"), "p1_top_pockets": P1.format("protein_key, pocket_id, score, rank, place"),
-        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_near_classes": P2_NEAR, "p2_members": P2_MEMBERS, "p3_found": P3_FOUND, "p4_found": P4_FOUND,
+        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_near_classes": P2_NEAR, "p2_members": P2_MEMBERS, "p3_found": P3_FOUND, "p3_forest": P3_FOREST, "p4_found": P4_FOUND,
         "p5_found": P5_FOUND, "p5_cutoffs": P5_CUTOFFS, "p6_found": P6_FOUND,
     }
