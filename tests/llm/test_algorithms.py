@@ -153,10 +153,11 @@ def test_classes_and_report(spark):
     long = "ACDEFGHIKLMNPQRSTVWY" * 3
     train = spark.createDataFrame([(1, "1abc_A", long), (2, "2abc", long), (3, "3abc", None), (4, "4abc", "WWWW"), (5, "9zzz", long[:-2])], "row long, pid string, rs string")
     evaluation = spark.createDataFrame([(11, "x", long.lower() + "*"), (12, "1ABC:B", "Y" * 40), (13, "y", long[1:]), (14, None, None), (15, "zz", "wwww"), (16, "zz", "VVVV")], "row long, pid string, rs string").selectExpr("*", "'val' AS split", "if(row = 16, null, ' Lab ') AS src")
-    pairs, members = overlap.near_classes(train, evaluation, "row", "rs")
+    records = overlap.read_records(train, evaluation, "row", "pid", "rs")
+    pairs, members = overlap.near_classes(records)
     assert {tuple(r) for r in pairs.collect()} == {(1, 1), (5, 1), (1, 13), (5, 13), (4, 4)}
     assert {(r["class"], r["r"]) for r in members.collect()} == {(1, 1), (1, 2), (1, 11), (5, 5), (12, 12), (13, 13), (4, 4), (4, 15), (16, 16)}
-    named = overlap.entry_classes(train, evaluation, "row", "pid")
+    named = overlap.entry_classes(records)
     assert {tuple(r) for r in named[0].collect()} == {("1abc", "1abc")}
     hits = overlap.overlapping(pairs, members).union(overlap.overlapping(*named))
     report = {(r["source"], r["records"], r["overlapping"]) for r in overlap.overlap_report(hits, evaluation, "row", "split", "src").collect()}

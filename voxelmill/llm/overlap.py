@@ -149,31 +149,30 @@ def near_sequences(texts: DataFrame, q: int = SHINGLE, per: int = PER_EDIT) -> D
     return near.union(texts.where("train AND eval").select(F.col("sid").alias("t"), F.col("sid").alias("e")))
 
 
-def _records(train: DataFrame, evaluation: DataFrame, row: str, key: Column) -> DataFrame:
-    side = lambda df, is_train: df.select(F.col(row).cast("long").alias("r"), key.alias("key"), F.lit(is_train).alias("train"))
-    return side(train, True).union(side(evaluation, False)).where("r IS NOT NULL AND key IS NOT NULL")
+def read_records(train: DataFrame, evaluation: DataFrame, row: str, name: str, sequence: str) -> DataFrame:
+    """``r, seq, entry, train`` of both sides, written once; rows without an id are left out."""
+    side = lambda df, is_train: df.select(F.col(row).cast("long").alias("r"), bare_sequence(F.col(sequence)).alias("seq"), entry_code(F.col(name)).alias("entry"), F.lit(is_train).alias("train"))
+    return materialize(side(train, True).union(side(evaluation, False)).where("r IS NOT NULL"), "records")
 
 
-def near_classes(train: DataFrame, evaluation: DataFrame, row: str, sequence: str, q: int = SHINGLE, per: int = PER_EDIT) -> tuple[DataFrame, DataFrame]:
+def near_classes(records: DataFrame, q: int = SHINGLE, per: int = PER_EDIT) -> tuple[DataFrame, DataFrame]:
     """Pairs ``t, e`` of classes of equal sequences, one with a training and one with an evaluation record, that are near the same, and members ``class, r, train``.
 
     A class is named after its smallest record and near itself. Nulls match
     nothing, nor does a sequence of which nothing is left without white space
     and ``*``.
     """
-    records = materialize(_records(train, evaluation, row, bare_sequence(F.col(sequence))).withColumnRenamed("key", "seq"), "records")
-    texts = records.groupBy("seq").agg(F.min("r").alias("sid"), F.max("train").alias("train"), (~F.min("train")).alias("eval"))
-    texts = materialize(texts, "texts")
-    members = records.join(texts.select("seq", "sid"), "seq").select(F.col("sid").alias("class"), "r", "train")
+    own = records.where("seq IS NOT NULL").select("seq", "r", "train")
+    texts = materialize(own.groupBy("seq").agg(F.min("r").alias("sid"), F.max("train").alias("train"), (~F.min("train")).alias("eval")), "texts")
+    members = own.join(texts.select("seq", "sid"), "seq").select(F.col("sid").alias("class"), "r", "train")
     return near_sequences(texts, q, per), members
 
 
-def entry_classes(train: DataFrame, evaluation: DataFrame, row: str, name: str) -> tuple[DataFrame, DataFrame]:
+def entry_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for records that name one entry: a class is an entry that both sides name."""
-    members = _records(train, evaluation, row, entry_code(F.col(name))).withColumnRenamed("key", "class")
-    members = materialize(members, "named")
+    members = records.where("entry IS NOT NULL").select(F.col("entry").alias("class"), "r", "train")
     both = members.groupBy("class").agg(F.min("train").alias("a"), F.max("train").alias("b")).where("a <> b")
-    return both.select(F.col("class").alias("t"), F.col("class").alias("e")), members.select("class", "r", "train")
+    return both.select(F.col("class").alias("t"), F.col("class").alias("e")), members
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -185,7 +184,8 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def cross_split_pairs(train: DataFrame, evaluation: DataFrame, row: str, name: str, sequence: str, q: int = SHINGLE, per: int = PER_EDIT) -> DataFrame:
     """``row_id_a, row_id_b`` (a < b): a training and an evaluation record with near-same sequences, or that name the same entry."""
-    return expand(*near_classes(train, evaluation, row, sequence, q, per)).union(expand(*entry_classes(train, evaluation, row, name))).distinct()
+    records = read_records(train, evaluation, row, name, sequence)
+    return expand(*near_classes(records, q, per)).union(expand(*entry_classes(records))).distinct()
 
 
 def overlapping(pairs: DataFrame, members: DataFrame) -> DataFrame:

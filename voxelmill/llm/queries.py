@@ -43,22 +43,25 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "protein_id", "residue_seq")
 
 
+def _listed(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.read_records(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "protein_id", "residue_seq")
+
+
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
-    train, evaluation = table(spark, sf, "train_ids"), _evaluation(spark, sf)
-    near = overlap.overlapping(*overlap.near_classes(train, evaluation, "row_id", "residue_seq"))
-    named = overlap.overlapping(*overlap.entry_classes(train, evaluation, "row_id", "protein_id"))
-    return overlap.overlap_report(near.union(named), evaluation, "row_id", "split_name", "source")
+    records = _listed(spark, sf)
+    hits = overlap.overlapping(*overlap.near_classes(records)).union(overlap.overlapping(*overlap.entry_classes(records)))
+    return overlap.overlap_report(hits, _evaluation(spark, sf), "row_id", "split_name", "source")
 
 
 def p2_near_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of different sequences, each named after its smallest record."""
-    pairs, _ = overlap.near_classes(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "residue_seq")
+    pairs, _ = overlap.near_classes(_listed(spark, sf))
     return pairs.where("t <> e").select(F.col("t").alias("train_class"), F.col("e").alias("eval_class"))
 
 
 def p2_members(spark: SparkSession, sf: str) -> DataFrame:
     """Every record with a sequence, its class and the number of classes of the other side that are near it, itself included where it stands on both sides."""
-    pairs, members = overlap.near_classes(table(spark, sf, "train_ids"), _evaluation(spark, sf), "row_id", "residue_seq")
+    pairs, members = overlap.near_classes(_listed(spark, sf))
     pairs = materialize(pairs, "pairs")
     links = pairs.groupBy(F.col("t").alias("class")).agg(F.count("*").alias("n")).withColumn("train", F.lit(True)).union(pairs.groupBy(F.col("e").alias("class")).agg(F.count("*").alias("n")).withColumn("train", F.lit(False)))
     return members.join(links, ["class", "train"], "left").select(F.col("r").alias("row_id"), F.col("class").alias("class_no"), F.coalesce("n", F.lit(0)).alias("links"))
