@@ -319,6 +319,10 @@ def test_chemistry(spark):
 
 def test_sampling(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
+    held = sampling.exact_split(df, "k", 0.25, 3).collect()
+    assert len(held) == df.select("k").distinct().count() and sum(r["held"] for r in held) == round(0.25 * len(held))
+    assert {r["k"] for r in sampling.exact_split(df, "k", 0.25, 4).collect() if r["held"]} != {r["k"] for r in held if r["held"]}
+    assert sampling.exact_split(df, "k", 0.25, 3, 1).where("held").count() == sum(r["held"] for r in held)
     assert {r["split"] for r in sampling.hash_split(df, "k", {"a": 0.5, "b": 0.5}).collect()} == {"a", "b"}
     assert sampling.sample(df, "k", 7).count() == 7
     assert sampling.repeat(df.limit(2), F.lit(3)).count() == 6

@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def hash_rank(key: Column, seed: int = 0) -> Column:
-    """A place in 0..1000002 by integer arithmetic that other engines repeat."""
-    return F.pmod(key.cast("long") * F.lit(7919) + F.lit(seed * 104729 + 12345), F.lit(1000003))
+    """A place in random order that other engines repeat: the digest of seed and key as 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
+def hash_share(key: Column, seed: int = 0) -> Column:
+    """A number in 0..1, from the first 12 digits of ``hash_rank``."""
+    return F.conv(F.substring(hash_rank(key, seed), 1, 12), 16, 10).cast("double") / F.lit(16.0**12)
 
 
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
-    """Adds ``split``: every key falls by its hash; no shuffle."""
-    x, edge, split = hash_rank(F.col(key), seed) / 1000003, 0.0, None
+    """Adds ``split``: every key falls by its hash; no shuffle. Shares are met on the average; ``exact_split`` meets them."""
+    x, edge, split = hash_share(F.col(key), seed), 0.0, None
     names = list(shares)
     for name in names[:-1]:
         edge += shares[name]
@@ -20,6 +25,24 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0)
     return df.withColumn("split", split.otherwise(names[-1]) if split is not None else F.lit(names[-1]))
 
 
+def exact_split(keys: DataFrame, key: str, fraction: float, seed: int = 0, digits: int = 3) -> DataFrame:
+    """Adds ``held``: true for round-half-even(fraction * n) of the n distinct keys, those that come first in hashed order.
+
+    Keys are counted by the first digits of their hashes; only the range in
+    which the quota ends is ordered.
+    """
+    rows = keys.select(key).distinct().withColumn("_h", hash_rank(F.col(key), seed)).withColumn("_r", F.substring("_h", 1, digits))
+    counts = rows.groupBy("_r").count()  # at most 16^digits rows
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("count").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    quota = F.bround(whole * F.lit(fraction), 0).cast("long")
+    cut = counts.select("_r", before.alias("_b"), (before + F.col("count")).alias("_e"), quota.alias("_q"))
+    placed = rows.join(F.broadcast(cut), "_r")
+    sure = placed.where("_e <= _q OR _b >= _q").select(key, (F.col("_e") <= F.col("_q")).alias("held"))
+    last = placed.where("_e > _q AND _b < _q").withColumn("_n", F.col("_b") + F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)))
+    return sure.union(last.select(key, (F.col("_n") <= F.col("_q")).alias("held")))
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows, those of the least hashes: a uniform sample without replacement that doesn't depend on order."""
     return df.orderBy(hash_rank(F.col(key), seed), key).limit(n)
@@ -48,9 +71,23 @@ def resolve_leaks(df: DataFrame, entity: str, split: str) -> DataFrame:
     return df.join(best, entity, "left").withColumn("new_split", F.coalesce("new_split", split))
 
 
+def resplit_entities(df: DataFrame, entity: str, split: str, fraction: float, seed: int = 0) -> DataFrame:
+    """Adds ``new_split``: of the entities, a ``fraction`` by hashed order is validation (1) and the rest training (0); rows without an entity keep their split."""
+    held = exact_split(df.where(F.col(entity).isNotNull()), entity, fraction, seed)
+    return df.join(held, entity, "left").withColumn("new_split", F.coalesce(F.col("held").cast("int"), F.col(split).cast("int"))).drop("held")
+
+
 def first_row_split(df: DataFrame, group: str, order: str, split: str) -> DataFrame:
-    """``group, split`` of the first row of every group."""
-    return df.groupBy(group).agg(F.min_by(split, order).alias(split))
+    """``group, split`` of the first row of every group, null where that row has none."""
+    return df.groupBy(group).agg(F.min(F.struct(order, split)).alias("b")).select(group, F.col(f"b.{split}").alias(split))
+
+
+def in_splits(df: DataFrame, group: str, order: str, split: str, wanted: list[int]) -> DataFrame:
+    """Groups whose first row is of a wanted split; all groups where no group is."""
+    first = first_row_split(df, group, order, split)
+    asked = first.where(F.col(split).isin(wanted))
+    none = asked.agg((F.count("*") == 0).alias("_none"))
+    return first.crossJoin(F.broadcast(none)).where(F.col("_none") | F.coalesce(F.col(split).isin(wanted), F.lit(False))).drop("_none")  # none: one row
 
 
 def running_fallback(df: DataFrame, keys: list[str], order: str, number: Column, width: int = 100_000) -> DataFrame:

@@ -11,7 +11,8 @@ from voxelmill.plans.registry import PKT, SCORED, query, ranked, scored
 from voxelmill.storage import materialize
 
 NINE = X.parse_thresholds("0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9")
-GRID50 = [round(0.02 * k, 2) for k in range(1, 50)]
+GRID50 = [round(0.01 + 0.02 * k, 2) for k in range(50)]
+GRID100 = [round(0.1 + 0.8 * k / 99, 12) for k in range(100)]
 
 
 def _grid(values: list[float]) -> str:
@@ -82,21 +83,39 @@ def pr_trapezoid(spark: SparkSession, sf: str) -> DataFrame:
     return steps.agg(rounded(F.sum(F.col("pos") / total * (h + h0) / 2), 6).alias("area"))
 
 
-@query(f"WITH {SCORED}, {_grid(GRID50)}, {CONF}, i AS (SELECT t, CASE WHEN tp+fp+fn = 0 THEN 0.0 ELSE tp/(tp+fp+fn) END AS iou FROM c) SELECT t AS threshold, round(iou, 6) AS iou FROM i ORDER BY iou DESC, t LIMIT 1")
+BEST = "{name} AS (SELECT t, v FROM (SELECT t, v FROM m UNION ALL SELECT 0.5, 0.0) WHERE v > 0 OR NOT EXISTS (SELECT 1 FROM m WHERE v > 0) ORDER BY v DESC, CASE WHEN v > 0 THEN t ELSE abs(t - 0.5) END LIMIT 1)"
+
+
+def _best(counts: DataFrame, value) -> DataFrame:
+    """``threshold, value``: the lowest threshold of the largest value; 0.5 where none is above 0."""
+    best = counts.select("t", value.alias("v")).where("v > 0").agg(F.max(F.struct("v", (-F.col("t")).alias("t"))).alias("b"))
+    return best.select(F.coalesce(-F.col("b.t"), F.lit(0.5)).alias("threshold"), F.coalesce("b.v", F.lit(0.0)).alias("value"))
+
+
+@query(f"WITH {SCORED}, {_grid(GRID50)}, {CONF}, m AS (SELECT t, CASE WHEN tp+fp+fn = 0 THEN 0.0 ELSE tp/(tp+fp+fn) END AS v FROM c), {BEST.format(name='b')} SELECT t AS threshold, round(v, 6) AS iou FROM b")
 def best_iou_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """The threshold of a grid with the largest IoU, the lowest of equals."""
-    c = M.threshold_counts(scored(spark, sf), GRID50)
+    """The threshold of 50 from 0.01 to 0.99 with the largest IoU, the lowest of equals; 0.5 if all are 0."""
     iou = M.ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))
-    best = c.agg(F.max(F.struct(iou.alias("iou"), (-F.col("t")).alias("t"))).alias("b"))
-    return best.select((-F.col("b.t")).alias("threshold"), rounded(F.col("b.iou"), 6).alias("iou"))
+    return _best(M.threshold_counts(scored(spark, sf), GRID50), iou).select("threshold", rounded(F.col("value"), 6).alias("iou"))
+
+
+@query(f"""WITH {SCORED}, {_grid(GRID100)}, {CONF}, f AS (WITH m AS (SELECT t, {PRF[2]} AS v FROM c), {BEST.format(name='b')} SELECT 'f1' AS metric, t, v FROM b),
+i AS (WITH m AS (SELECT t, tp/(tp+fp+fn+1e-8) AS v FROM c), {BEST.format(name='b')} SELECT 'iou' AS metric, t, v FROM b)
+SELECT metric, t AS threshold, round(v, 6) AS value FROM (SELECT * FROM f UNION ALL SELECT * FROM i)""")
+def best_threshold_100(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of 100 thresholds from 0.1 to 0.9, by F1 and by IoU with 1e-8 in its denominator."""
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    counts = materialize(M.threshold_counts(scored(spark, sf), GRID100), "counts")
+    parts = [_best(counts, v).select(F.lit(n).alias("metric"), "threshold", rounded(F.col("value"), 6).alias("value")) for n, v in (("f1", M.ratio(2 * tp, 2 * tp + fp + fn)), ("iou", tp / (tp + fp + fn + 1e-8)))]
+    return parts[0].union(parts[1])
 
 
-@query(f"WITH {SCORED}, {STEPS}, f AS (SELECT p, 2*tp/(tp+fp+(SELECT sum(pos) FROM v)) AS f1 FROM s) SELECT p AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, p DESC LIMIT 1")
+@query(f"WITH {SCORED}, {STEPS}, f AS (SELECT p, 2*tp/(tp+fp+(SELECT sum(pos) FROM v)) AS f1 FROM s) SELECT p AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, p LIMIT 1")
 def pr_optimal_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """The score with the largest F1, the highest of equals."""
+    """The score with the largest F1, the lowest of equals."""
     steps = materialize(M.score_steps(scored(spark, sf)), "steps")
     f1 = 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(_positives(steps)))
-    return steps.agg(F.max(F.struct(f1.alias("f1"), "p")).alias("b")).select(F.col("b.p").alias("threshold"), rounded(F.col("b.f1"), 6).alias("f1"))
+    return steps.agg(F.max(F.struct(f1.alias("f1"), (-F.col("p")).alias("p"))).alias("b")).select((-F.col("b.p")).alias("threshold"), rounded(F.col("b.f1"), 6).alias("f1"))
 
 
 @query(f"WITH {SCORED} SELECT protein_key, round(quantile_cont(p, 0.95), 6) AS p95, round(quantile_cont(p, 0.97), 6) AS p97 FROM scored GROUP BY protein_key")

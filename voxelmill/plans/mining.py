@@ -64,7 +64,7 @@ def oversample_union(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.repeat(rows, F.when(F.col("bucket") == "positive", 3).when(F.col("bucket") == "border", 2).otherwise(1))
 
 
-@query(f"WITH {SCORED} SELECT point_id FROM scored WHERE y = 0 AND p <= 0.05 ORDER BY (point_id*7919 + 12345) % 1000003, point_id LIMIT 300")
+@query(f"WITH {SCORED} SELECT point_id FROM scored WHERE y = 0 AND p <= 0.05 ORDER BY md5('0:' || CAST(point_id AS VARCHAR)), point_id LIMIT 300")
 def safe_negative_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Three hundred safe negatives, a sample without replacement that is the same on every run."""
     return sampling.sample(scored(spark, sf).where("y = 0 AND p <= 0.05").select("point_id"), "point_id", 300)

@@ -217,12 +217,12 @@ walk AS (SELECT residue_uid AS id, residue_uid AS reach FROM pos UNION SELECT wa
 named AS (SELECT id, min(reach) AS cluster_id FROM walk GROUP BY id)
 SELECT protein_key, cluster_id, count(*) AS size, round(sum(prob), 6) AS sum_prob, round(sum(prob*x)/(sum(prob)+1e-8), 4) AS cx, round(sum(prob*y)/(sum(prob)+1e-8), 4) AS cy, round(sum(prob*z)/(sum(prob)+1e-8), 4) AS cz,
   round(avg(CASE WHEN rsa >= 0.2 THEN 1.0 ELSE 0.0 END), 6) AS surface, round(sum(prob) * avg(CASE WHEN rsa >= 0.2 THEN 1.0 ELSE 0.0 END), 6) AS score
-FROM named JOIN pos ON id = residue_uid GROUP BY protein_key, cluster_id HAVING count(*) >= 2 AND sum(prob) >= 0.5"""
+FROM named JOIN pos ON id = residue_uid GROUP BY protein_key, cluster_id HAVING count(*) >= 5 AND sum(prob) >= 2 AND sum(prob) * avg(CASE WHEN rsa >= 0.2 THEN 1.0 ELSE 0.0 END) >= 0.1"""
 
 
 @query(RESIDUE_SQL)
 def residue_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of exposed probable residues in the residue graph, as weighted pockets."""
+    """Components of exposed probable residues in the residue graph, as weighted pockets of at least five residues, a probability sum of 2 and a score of 0.1."""
     rows = materialize(residues(spark, sf), "residues")
     pos = rows.where("prob >= 0.3 AND rsa >= 0.2")
     edges = graph.knn_graph(_graph_neighbours(spark, sf), "protein_key", "residue_uid", "other", 8.0)
@@ -233,7 +233,7 @@ def residue_components(spark: SparkSession, sf: str) -> DataFrame:
     total = F.sum("prob")
     surface = F.avg((F.col("rsa") >= 0.2).cast("double"))
     out = named.groupBy("protein_key", "cluster_id").agg(F.count("*").alias("size"), total.alias("t"), *[rounded(F.sum(F.col("prob") * F.col(a)) / (total + 1e-8), 4).alias(f"c{a}") for a in spatial.AXES], rounded(surface, 6).alias("surface"), rounded(total * surface, 6).alias("score"))
-    return out.where("size >= 2 AND t >= 0.5").select("protein_key", "cluster_id", "size", rounded(F.col("t"), 6).alias("sum_prob"), "cx", "cy", "cz", "surface", "score")
+    return out.where("size >= 5 AND t >= 2 AND score >= 0.1").select("protein_key", "cluster_id", "size", rounded(F.col("t"), 6).alias("sum_prob"), "cx", "cy", "cz", "surface", "score")
 
 
 @query()

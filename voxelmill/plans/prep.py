@@ -120,14 +120,41 @@ def leakage_resolved(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.resolve_leaks(rows, "entry", "split").select("row_id", "new_split")
 
 
-@query("""WITH f AS (SELECT DISTINCT sample_id, lower(protein_key) AS k, split FROM sample_store), s AS (SELECT k, arg_min(split, sample_id) AS split FROM f GROUP BY k) SELECT k AS protein, CAST(split AS INT) AS split FROM s WHERE split IN (0, 1)""")
+FIRST = "f AS (SELECT DISTINCT sample_id, lower(protein_key) AS k, split FROM sample_store), s AS (SELECT k, split FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sample_id, split NULLS FIRST) AS r FROM f) WHERE r = 1)"
+
+
+@query(f"WITH {FIRST} SELECT k AS protein, CAST(split AS INT) AS split FROM s WHERE split IN (0, 1) OR NOT EXISTS (SELECT 1 FROM s WHERE split IN (0, 1))")
 def split_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Proteins of train and validation, by the split of their first sample that has one."""
-    rows = table(spark, sf, "sample_store").where("split IS NOT NULL").select("sample_id", F.lower("protein_key").alias("protein"), "split")
-    return sampling.first_row_split(rows, "protein", "sample_id", "split").where("split IN (0, 1)").select("protein", F.col("split").cast("int").alias("split"))
+    """Proteins of train and validation, by the split of their first sample; all of them if there are none."""
+    rows = table(spark, sf, "sample_store").select("sample_id", F.lower("protein_key").alias("protein"), F.col("split").cast("int").alias("split"))
+    return sampling.in_splits(rows, "protein", "sample_id", "split", [0, 1])
+
+
+@query(f"WITH {FIRST} SELECT k AS protein, CAST(split AS INT) AS split FROM s WHERE split = 9 OR NOT EXISTS (SELECT 1 FROM s WHERE split = 9)")
+def split_filter_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A split that no protein is in gives all proteins."""
+    rows = table(spark, sf, "sample_store").select("sample_id", F.lower("protein_key").alias("protein"), F.col("split").cast("int").alias("split"))
+    return sampling.in_splits(rows, "protein", "sample_id", "split", [9])
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(protein_key) AS k FROM sample_store WHERE protein_key IS NOT NULL), n AS (SELECT round_even(count(*) * 0.15, 0) AS n FROM k),
+r AS (SELECT k, row_number() OVER (ORDER BY md5('42:' || k), k) AS r FROM k) SELECT k AS protein, r <= n AS held FROM r CROSS JOIN n""")
+def group_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Proteins held out: round-half-even of 15 percent, the same on every run."""
+    keys = table(spark, sf, "sample_store").select(F.lower("protein_key").alias("protein")).where("protein IS NOT NULL")
+    return sampling.exact_split(keys, "protein", 0.15, 42)
+
+
+@query(f"""WITH {IDS}, e AS (SELECT row_id, {entry_code_sql('protein_id')} AS entry, split FROM ids), k AS (SELECT DISTINCT entry FROM e WHERE entry IS NOT NULL), n AS (SELECT round_even(count(*) * 0.2, 0) AS n FROM k),
+r AS (SELECT entry, row_number() OVER (ORDER BY md5('7:' || entry), entry) AS r FROM k), h AS (SELECT entry, CASE WHEN r <= n THEN 1 ELSE 0 END AS held FROM r CROSS JOIN n)
+SELECT row_id, CAST(coalesce(held, split) AS INT) AS new_split FROM e LEFT JOIN h ON e.entry = h.entry""")
+def entry_resplit(spark: SparkSession, sf: str) -> DataFrame:
+    """A new split by entries, a fifth of them held out; rows that name no entry keep theirs."""
+    rows = ids(spark, sf).select("row_id", entry_code(F.col("protein_id")).alias("entry"), "split")
+    return sampling.resplit_entities(rows, "entry", "split", 0.2, 7).select("row_id", "new_split")
 
 
-@query("""WITH k AS (SELECT DISTINCT protein_no FROM proteins), h AS (SELECT protein_no, ((protein_no*7919 + 12345) % 1000003)/1000003 AS x FROM k)
+@query("""WITH k AS (SELECT DISTINCT protein_no FROM proteins), h AS (SELECT protein_no, CAST(CAST('0x' || substr(md5('0:' || CAST(protein_no AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS x FROM k)
 SELECT protein_no, CASE WHEN x < 0.8 THEN 'train' WHEN x < 0.9 THEN 'val' ELSE 'test' END AS split FROM h""")
 def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     """A split by hash of the chain's number."""
