@@ -98,6 +98,38 @@ def test_radius_kernel(n, seed, radius):
     assert {*zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
 
+def test_quantiles_by_ranges(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([rng.gauss(0, 1), 0.5, -3.0, None])) for g in "abc" for _ in range(rng.choice([1, 50, 400]))] + [("one", 7.0), ("flat", 2.0), ("flat", 2.0), ("none", None), ("ends", float("inf")), ("ends", float("-inf")), ("ends", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in metrics.quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5, "top": 1.0}).collect()}
+    for g in {r[0] for r in rows} - {"ends"}:
+        own = [v for k, v in rows if k == g and v is not None]
+        if not own:
+            assert g not in got
+            continue
+        assert got[g]["n"] == len(own)
+        assert [got[g][c] for c in ("q1", "m", "top")] == pytest.approx(list(np.quantile(own, [0.25, 0.5, 1.0])), abs=1e-12)
+    assert got["ends"]["m"] == 1.0 and got["ends"]["top"] == float("inf")
+    wanted = df.select("g").distinct().selectExpr("g", "'k' AS name", "0L AS at")
+    least = {r["g"]: r["value"] for r in metrics.order_statistics(df, ["g"], "v", wanted, 7).collect()}
+    assert least == {g: min(v for k, v in rows if k == g and v is not None) for g in {k for k, v in rows if v is not None}}
+
+
+@pytest.mark.parametrize("spread", ["left", "right"])
+def test_radius_join_spreads_either_side(spark, spread):
+    rng = random.Random(7)
+    make = lambda n, name: spark.createDataFrame([(rng.choice("ab"), k, *(rng.uniform(-6, 6) for _ in range(3))) for k in range(n)], f"g string, {name} long, x double, y double, z double")
+    left, right = make(60, "l"), make(80, "r")
+    got = {(r["l"], r["r"]) for r in spatial.radius_join(left, right, "g", 2.5, None, spread).collect()}
+    dist = lambda p, q: sum((p[c] - q[c]) ** 2 for c in "xyz")
+    want = {(p["l"], q["r"]) for p in left.collect() for q in right.collect() if p["g"] == q["g"] and dist(p, q) <= 6.25}
+    assert got == want
+    pairs = spatial.radius_pairs(left, "g", "l", 2.5).collect()
+    rows = left.collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == sorted((p["l"], q["l"]) for p in rows for q in rows if p["l"] < q["l"] and p["g"] == q["g"] and dist(p, q) <= 6.25)
+
+
 def test_radius_kernel_in_small_blocks():
     rng = np.random.default_rng(3)
     x, g = rng.normal(size=(300, 3)) * 4, rng.integers(0, 2, 300)

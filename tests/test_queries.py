@@ -26,4 +26,4 @@ def test_runs(spark, name):
 
 def test_every_query_without_sql_is_sequential_or_iterative():
     rest = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert rest == {"greedy_matches", "match_summary", "nms_points", "hull_volume", "config_sweep", "platt_fit", "isotonic_fit", "match_iou_stats"}
+    assert rest == {"nms_points", "hull_volume", "config_sweep", "platt_fit", "isotonic_fit"}

@@ -62,3 +62,38 @@ def average_precision(steps: DataFrame) -> Column:
 def auroc(steps: DataFrame) -> Column:
     """Over ``score_steps``: the chance that a positive outranks a negative, ties half."""
     return F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.sum("pos") * F.sum("neg"))
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``keys, name, value`` for ``wanted: keys, name, at``: the value at place ``at`` (from 0) of the ascending values of each group.
+
+    Equal values are counted first, counts are summed by ranges between a
+    group's extremes, and only a range that holds a wanted place is ordered; no
+    task holds a group. NaN comes last.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    finite = F.when(~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))), F.col("v"))
+    ends = counts.groupBy(*keys).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    span = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets
+    part = F.when(F.isnan("v"), buckets + 2).when(F.col("v") == float("inf"), buckets + 1).when(F.col("v") == float("-inf"), -1).when(F.col("hi") > F.col("lo"), F.least(F.floor(span), F.lit(buckets - 1))).otherwise(0)
+    placed = counts.join(ends, list(keys)).select(*keys, "v", "c", part.cast("int").alias("part"))
+    sums = placed.groupBy(*keys, "part").agg(F.sum("c").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # some 1024 rows a group
+    held = sums.withColumn("start", before).join(wanted, list(keys)).where("at >= start AND at < start + c").select(*keys, "part", "name", (F.col("at") - F.col("start")).alias("at"))
+    inside = F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    needed = placed.join(held.select(*keys, "part").distinct(), [*keys, "part"], "left_semi").withColumn("end", inside)
+    return needed.join(held, [*keys, "part"]).where("at < end AND at >= end - c").select(*keys, "name", F.col("v").alias("value"))
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """``keys, n`` and a column for each of ``qs``: linear quantiles of the non-null values of every group; without keys, of all."""
+    if not keys:
+        return quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, qs).drop("_all")
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
+    h = {name: (F.col("n") - 1) * F.lit(q) for name, q in qs.items()}
+    places = [F.struct(F.lit(f"{name}:{end}").alias("name"), f(at).cast("long").alias("at")) for name, at in h.items() for end, f in (("a", F.floor), ("b", F.ceil))]
+    wanted = n.select(*keys, F.explode(F.array(*places)).alias("w")).select(*keys, "w.*")
+    found = order_statistics(df, keys, value, wanted).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == f"{name}:{end}", F.col("value"))).alias(f"{name}:{end}") for name in qs for end in "ab"])
+    low, high = (lambda name, end=end: F.col(f"`{name}:{end}`") for end in "ab")
+    mixed = [F.when(at == F.floor(at), low(name)).otherwise(low(name) + (high(name) - low(name)) * (at - F.floor(at))).alias(name) for name, at in h.items()]
+    return n.join(found, list(keys)).select(*keys, "n", *mixed)

@@ -17,43 +17,46 @@ from voxelmill.storage import materialize
 AXES = ("x", "y", "z")
 
 
-def cells(radius: float, spread: bool) -> list[Column]:
-    """Cell numbers of a point on each axis; with ``spread``, those of the cells around too."""
-    own = [F.floor(F.col(a) / radius).cast("long") for a in AXES]
-    return [F.explode(F.sequence(c - 1, c + 1)) if spread else c for c in own]
-
-
-def in_cells(df: DataFrame, radius: float, spread: bool = False) -> DataFrame:
-    for axis, cell in zip(AXES, cells(radius, spread)):
-        df = df.withColumn(f"cell_{axis}", cell)
+def in_cells(df: DataFrame, radius: float, spread: bool = False, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Adds ``cell_x, cell_y, cell_z``; with ``spread``, a row for each of the 27 cells around."""
+    for axis, name in zip(AXES, axes):
+        own = F.floor(F.col(name) / radius).cast("long")
+        df = df.withColumn(f"cell_{axis}", F.explode(F.sequence(own - 1, own + 1)) if spread else own)
     return df
 
 
-def radius_join(left: DataFrame, right: DataFrame, group: str, radius: float, condition: Column | None = None) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, group: str, radius: float, condition: Column | None = None, spread: str = "left") -> DataFrame:
     """All pairs of a group within ``radius`` (inclusive), with ``d2``.
 
     left has ``group, x, y, z`` and columns of its own; those of right must
     differ, but for ``group`` and the coordinates, which come back as
-    ``rx, ry, rz``.
+    ``rx, ry, rz``. ``spread`` names the side that is put into the cells
+    around: the smaller one.
     """
-    right = right.select(*[c for c in right.columns if c not in AXES], *[F.col(a).alias(f"r{a}") for a in AXES])
-    near = in_cells(left, radius, spread=True)
-    far = right
-    for a in AXES:
-        far = far.withColumn(f"cell_{a}", F.floor(F.col(f"r{a}") / radius).cast("long"))
+    away = tuple(f"r{a}" for a in AXES)
+    right = right.select(*[c for c in right.columns if c not in AXES], *[F.col(a).alias(r) for a, r in zip(AXES, away)])
     keys = [group, *(f"cell_{a}" for a in AXES)]
-    d2 = distance2([F.col(a) for a in AXES], [F.col(f"r{a}") for a in AXES])
-    pairs = near.join(far, keys).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    d2 = distance2([F.col(a) for a in AXES], [F.col(r) for r in away])
+    pairs = in_cells(left, radius, spread == "left").join(in_cells(right, radius, spread == "right", away), keys)
+    pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= radius * radius)
     if condition is not None:
         pairs = pairs.where(condition)
     return pairs.drop(*keys[1:])
 
 
+#: A cell and half of those around it: two cells meet once.
+HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
 def radius_pairs(points: DataFrame, group: str, item: str, radius: float) -> DataFrame:
     """``group, a, b, d2`` with a < b within ``radius``."""
-    left = points.select(group, F.col(item).alias("a"), *AXES)
-    right = points.select(group, F.col(item).alias("b"), *AXES)
-    return radius_join(left, right, group, radius, F.col("a") < F.col("b")).select(group, "a", "b", "d2")
+    rows = in_cells(points.select(group, item, *AXES), radius)
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(step, AXES)]) for step in HALF])
+    left = rows.select("*", F.explode(steps).alias("_s")).select(group, F.col(item).alias("_a"), *AXES, (F.expr("_s.dx = 0 AND _s.dy = 0 AND _s.dz = 0")).alias("_same"), *[(F.col(f"cell_{a}") + F.col(f"_s.d{a}")).alias(f"cell_{a}") for a in AXES])
+    right = rows.select(group, F.col(item).alias("_b"), *[F.col(a).alias(f"r{a}") for a in AXES], *(f"cell_{a}" for a in AXES))
+    d2 = distance2([F.col(a) for a in AXES], [F.col(f"r{a}") for a in AXES])
+    pairs = left.join(right, [group, *(f"cell_{a}" for a in AXES)]).where("NOT _same OR _a < _b").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
+    return pairs.select(group, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "d2").where("a < b")
 
 
 def grow(core: DataFrame, points: DataFrame, group: str, cluster: str, item: str, radius: float) -> DataFrame:

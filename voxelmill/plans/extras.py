@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from voxelmill.functions.expressions import rounded
 from voxelmill.functions.keys import entry_code, entry_code_sql
-from voxelmill.operators import graph, scoring
-from voxelmill.plans.pockets import BASE, compared, pockets
+from voxelmill.operators import metrics as M, scoring
+from voxelmill.plans.pockets import BASE, GREEDY, _matches, compared, pockets
+from voxelmill.plans.metrics import kth_and_percentiles
 from voxelmill.plans.registry import PTS, RES, SCORED, points, query, residues, scored
 from voxelmill.plans.spatial import D2, _knn
 from voxelmill.sources.tables import table
+from voxelmill.storage import materialize
 
 STORE = "store AS (SELECT DISTINCT ON (sample_id) * FROM sample_store)"
 
@@ -44,7 +46,7 @@ def neighbour_mask(spark: SparkSession, sf: str) -> DataFrame:
 SELECT a.protein_key, coalesce(n, 0) AS pockets, round(coalesce(members, 0) / points, 6) AS coverage FROM a LEFT JOIN p ON a.protein_key = p.protein_key""")
 def pocket_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Pockets of each protein and the share of its points in them, those in several counted for each."""
-    pts, _, ranked = pockets(spark, sf)
+    pts, _, ranked, _ = pockets(spark, sf)
     p = ranked.groupBy("protein_key").agg(F.count("*").alias("n"), F.sum("sample_points").alias("members"))
     a = pts.groupBy("protein_key").agg(F.count("*").alias("points"))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -55,15 +57,15 @@ def pocket_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def pocket_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes and scores of all pockets."""
     n = F.col("sample_points")
-    return pockets(spark, sf)[2].agg(F.count("*").alias("pockets"), rounded(F.avg(n), 6).alias("mean_size"), rounded(F.stddev_pop(n), 6).alias("std_size"), F.min(n).alias("least_size"), F.max(n).alias("most_size"), rounded(F.sum("score"), 4).alias("score_sum"))
+    return pockets(spark, sf).ranked.agg(F.count("*").alias("pockets"), rounded(F.avg(n), 6).alias("mean_size"), rounded(F.stddev_pop(n), 6).alias("std_size"), F.min(n).alias("least_size"), F.max(n).alias("most_size"), rounded(F.sum("score"), 4).alias("score_sum"))
 
 
-@query()
+@query(f"{GREEDY} SELECT count(*) AS matches, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou, round(stddev_pop(iou), 6) AS std_iou FROM match")
 def match_iou_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, median and deviation of the IoU of all greedy matches; no SQL, as the choice is sequential."""
-    pairs = compared(spark, sf)[2].where("overlap >= 1 OR distance <= 6")
-    m = graph.greedy_match(pairs, "cluster_id", "site_id", [-F.col("iou"), F.col("distance")])
-    return m.agg(F.count("*").alias("matches"), rounded(F.avg("iou"), 6).alias("mean_iou"), rounded(F.expr("percentile(iou, 0.5)"), 6).alias("median_iou"), rounded(F.stddev_pop("iou"), 6).alias("std_iou"))
+    """Mean, median and deviation of the IoU of all greedy matches."""
+    m = materialize(_matches(compared(spark, sf)), "match")
+    median = M.quantiles(m, [], "iou", {"q": 0.5}).select(rounded(F.col("q"), 6)).scalar()
+    return m.agg(F.count("*").alias("matches"), rounded(F.avg("iou"), 6).alias("mean_iou"), rounded(F.stddev_pop("iou"), 6).alias("std_iou")).withColumn("median_iou", median)
 
 
 @query(f"""WITH {SCORED}, s AS (SELECT protein_key, count(*) FILTER (WHERE p >= 0.97 AND y = 1) AS i, count(*) FILTER (WHERE p >= 0.97 OR y = 1) AS u FROM scored GROUP BY protein_key)
@@ -100,16 +102,12 @@ m AS (SELECT q.protein_key, unnest(['global', 'adaptive', 'percentile']) AS mode
 SELECT m.protein_key, mode, round(CASE mode WHEN 'global' THEN 0.5 WHEN 'adaptive' THEN m.p ELSE p95 END, 6) AS threshold, count(*) FILTER (WHERE s.p >= CASE mode WHEN 'global' THEN 0.5 WHEN 'adaptive' THEN m.p ELSE p95 END) AS kept
 FROM m JOIN scored s ON m.protein_key = s.protein_key GROUP BY m.protein_key, mode, p95, m.p""")
 def threshold_modes(spark: SparkSession, sf: str) -> DataFrame:
-    """Thresholds of the three modes and what each keeps, from counts of equal scores."""
-    counts = scored(spark, sf).groupBy("protein_key", "p").count()
-    w = Window.partitionBy("protein_key")
-    above = F.sum("count").over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumn("at", above).withColumn("n", F.sum("count").over(w))
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * 0.03))
-    per = rows.groupBy("protein_key").agg(F.expr("percentile(p, 0.95, count)").alias("p95"), F.max(F.when(F.col("at") >= k, F.col("p"))).alias("kth"))
+    """Thresholds of the three modes and what each keeps."""
+    rows = scored(spark, sf)
+    per = kth_and_percentiles(rows, 0.03, {"p95": 0.95})
     modes = per.select("protein_key", F.explode(F.create_map(F.lit("global"), F.lit(0.5), F.lit("adaptive"), F.col("kth"), F.lit("percentile"), F.col("p95"))).alias("mode", "threshold"))
-    kept = F.sum(F.when(F.col("p") >= F.col("threshold"), F.col("count")).otherwise(0))
-    return modes.join(counts, "protein_key").groupBy("protein_key", "mode", "threshold").agg(kept.alias("kept")).select("protein_key", "mode", rounded(F.col("threshold"), 6).alias("threshold"), "kept")
+    kept = F.count(F.when(F.col("p") >= F.col("threshold"), 1))
+    return modes.join(rows, "protein_key").groupBy("protein_key", "mode", "threshold").agg(kept.alias("kept")).select("protein_key", "mode", rounded(F.col("threshold"), 6).alias("threshold"), "kept")
 
 
 @query(f"WITH {STORE} SELECT CAST(split AS INT) AS split, count(*) AS samples, count(DISTINCT lower(protein_key)) AS proteins, count(*) FILTER (WHERE label = 1) AS positives FROM store GROUP BY split")

@@ -120,21 +120,24 @@ def pr_optimal_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT protein_key, round(quantile_cont(p, 0.95), 6) AS p95, round(quantile_cont(p, 0.97), 6) AS p97 FROM scored GROUP BY protein_key")
 def percentile_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Per protein, linear percentiles; values are counted first, so a large protein is a short list."""
-    counts = scored(spark, sf).groupBy("protein_key", "p").count()
-    return counts.groupBy("protein_key").agg(*[rounded(F.expr(f"percentile(p, {q}, count)"), 6).alias(f"p{round(q * 100)}") for q in (0.95, 0.97)])
+    """Per protein, linear percentiles."""
+    told = M.quantiles(scored(spark, sf), ["protein_key"], "p", {"p95": 0.95, "p97": 0.97})
+    return told.select("protein_key", rounded(F.col("p95"), 6).alias("p95"), rounded(F.col("p97"), 6).alias("p97"))
+
+
+def kth_and_percentiles(rows: DataFrame, share: float, qs: dict[str, float]) -> DataFrame:
+    """``protein_key, n, kth`` and quantiles of p: kth is the k-th highest, k = max(1, int(share n))."""
+    n = rows.groupBy("protein_key").agg(F.count("*").alias("n"))
+    wanted = n.select("protein_key", F.lit("kth").alias("name"), (F.col("n") - F.greatest(F.lit(1), F.floor(F.col("n") * share))).cast("long").alias("at"))
+    kth = M.order_statistics(rows, ["protein_key"], "p", wanted).select("protein_key", F.col("value").alias("kth"))
+    return kth.join(M.quantiles(rows, ["protein_key"], "p", qs) if qs else n, "protein_key")
 
 
 @query(f"""WITH {SCORED}, r AS (SELECT protein_key, p, row_number() OVER (PARTITION BY protein_key ORDER BY p DESC) AS r, count(*) OVER (PARTITION BY protein_key) AS n FROM scored)
 SELECT protein_key, n, p AS threshold FROM r WHERE r = greatest(1, CAST(floor(n * 0.03) AS BIGINT))""")
 def prevalence_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """Per protein, the k-th highest probability, k = max(1, int(0.03 n))."""
-    counts = scored(spark, sf).groupBy("protein_key", "p").count()
-    w = Window.partitionBy("protein_key")
-    above = F.sum("count").over(w.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.select("protein_key", "p", "count", above.alias("at"), F.sum("count").over(w).alias("n"))
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * 0.03))
-    return rows.where((F.col("at") >= k) & (F.col("at") - F.col("count") < k)).select("protein_key", "n", F.col("p").alias("threshold"))
+    return kth_and_percentiles(scored(spark, sf), 0.03, {}).select("protein_key", "n", F.col("kth").alias("threshold"))
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE y = 1) AS positives, round(count(*) FILTER (WHERE y <> 1)/greatest(1, count(*) FILTER (WHERE y = 1)), 6) AS pos_weight, round(ln(avg(y)/greatest(1e-6, 1-avg(y))), 6) AS bias FROM scored")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxelmill.functions.expressions import rounded
-from voxelmill.operators import sampling
-from voxelmill.plans.pockets import BASE, FULL, compared, pockets
+from voxelmill.operators import metrics as M, sampling
+from voxelmill.plans.pockets import BASE, FULL, _both, _nearest_pockets, compared, pockets
 from voxelmill.plans.registry import PTS, RES, SCORED, points, query, residues, scored
 from voxelmill.sources import sinks
 from voxelmill.sources.tables import table
+from voxelmill.storage import materialize
 
 BUCKET = "CASE WHEN y = 1 AND (p < 0.88 OR abs(p - 0.88) <= 0.15) THEN 'positive' WHEN y = 0 AND p >= 0.88 - 0.12 THEN 'border' WHEN y = 0 AND p <= 0.05 THEN 'safe' ELSE 'other' END"
 
@@ -82,13 +83,13 @@ def hard_replay(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {PTS}, l AS (SELECT 'x' AS feature, x AS v FROM pts UNION ALL SELECT 'y', y FROM pts UNION ALL SELECT 'z', z FROM pts UNION ALL SELECT 'prob', prob FROM pts)
 SELECT feature, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, min(v) AS least, round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.75), 5) AS q3, max(v) AS most, count(DISTINCT v) AS values FROM l GROUP BY feature""")
 def feature_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Moments, quartiles, extremes and distinct values; values are counted first, so quartiles need only their counts."""
-    long = points(spark, sf).select(F.expr("stack(4, 'x', x, 'y', y, 'z', z, 'prob', prob) AS (feature, v)")).groupBy("feature", "v").count()
-    n = F.sum("count")
-    mean = F.sum(F.col("v") * F.col("count")) / n
-    var = (F.sum(F.col("v") * F.col("v") * F.col("count")) - n * mean * mean) / (n - 1)
-    q = lambda p: rounded(F.expr(f"percentile(v, {p}, count)"), 5)
-    return long.groupBy("feature").agg(n.alias("n"), rounded(mean, 5).alias("mean"), rounded(F.sqrt(var), 5).alias("std"), F.min("v").alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("v").alias("most"), F.count("*").alias("values"))
+    """Moments, quartiles, extremes and distinct values of each feature."""
+    rows = points(spark, sf).select(F.expr("stack(4, 'x', x, 'y', y, 'z', z, 'prob', prob) AS (feature, v)"))
+    sums = rows.groupBy("feature").agg(rounded(F.avg("v"), 5).alias("mean"), rounded(F.stddev_samp("v"), 5).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # distinct values are told apart by ranges, so that no task holds those of a feature
+    distinct = rows.groupBy("feature", "v").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("*").alias("values"))
+    told = M.quantiles(rows, ["feature"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return sums.join(distinct, "feature").join(told, "feature").select("feature", "n", "mean", "std", "least", *[rounded(F.col(c), 5).alias(c) for c in ("q1", "median", "q3")], "most", "values")
 
 
 @query("SELECT residue_name AS value, count(*) AS n, count(DISTINCT protein_key) AS proteins FROM sas_points GROUP BY residue_name")
@@ -118,7 +119,7 @@ def tabular_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{BASE} SELECT protein_key, count(*) AS pockets, round(sum(score), 5) AS score_sum, max(score) AS best_score, round(avg(sample_points), 6) AS mean_points FROM ranked GROUP BY protein_key")
 def per_protein_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Pockets of each protein."""
-    return pockets(spark, sf)[2].groupBy("protein_key").agg(F.count("*").alias("pockets"), rounded(F.sum("score"), 5).alias("score_sum"), F.max("score").alias("best_score"), rounded(F.avg("sample_points"), 6).alias("mean_points"))
+    return pockets(spark, sf).ranked.groupBy("protein_key").agg(F.count("*").alias("pockets"), rounded(F.sum("score"), 5).alias("score_sum"), F.max("score").alias("best_score"), rounded(F.avg("sample_points"), 6).alias("mean_points"))
 
 
 RUN = ("proteins", "pockets", "pockets_per_protein", "mean_score", "mean_points", "mean_surface")
@@ -128,7 +129,7 @@ RUN = ("proteins", "pockets", "pockets_per_protein", "mean_score", "mean_points"
 """ + " UNION ALL ".join(f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM one" for c in RUN))
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The run's metrics as rows."""
-    r = pockets(spark, sf)[2]
+    r = pockets(spark, sf).ranked
     one = r.agg(F.countDistinct("protein_key").alias("proteins"), F.count("*").alias("pockets"), rounded(F.count("*") / F.countDistinct("protein_key"), 6).alias("pockets_per_protein"), rounded(F.avg("score"), 5).alias("mean_score"), rounded(F.avg("sample_points"), 6).alias("mean_points"), rounded(F.avg("surface_atoms"), 6).alias("mean_surface"))
     return sinks.metric_rows(one, RUN)
 
@@ -137,7 +138,9 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 SELECT protein_key, best, 'success' AS kind FROM s WHERE up <= 5 UNION ALL SELECT protein_key, best, 'failure' FROM s WHERE up > 5 AND down <= 5""")
 def case_studies(spark: SparkSession, sf: str) -> DataFrame:
     """Five proteins of the best IoU and five others of the worst."""
-    best = compared(spark, sf)[2].groupBy("protein_key").agg(F.max("iou").alias("best"))
+    truth = compared(spark, sf)
+    best = _both(truth).join(truth.pairs.groupBy("protein_key").agg(F.max("iou").alias("best")), "protein_key", "left").fillna(0.0, ["best"])
+    best = materialize(best, "best")
     up = best.orderBy(F.desc("best"), "protein_key").limit(5)
     down = best.orderBy("best", "protein_key").limit(5).join(up.select("protein_key"), "protein_key", "left_anti")
     return up.withColumn("kind", F.lit("success")).unionByName(down.withColumn("kind", F.lit("failure")))
@@ -177,8 +180,9 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("started"), "n", rounded(F.col("total"), 4).alias("total"))
 
 
-@query(f"{FULL}, d AS (SELECT site_id, min(distance) AS d, min_by(rank, distance) AS r FROM cmp GROUP BY site_id) SELECT CAST(r AS INT) AS rank, count(*) AS sites, count(*) FILTER (WHERE d <= 4) AS near FROM d GROUP BY r".replace("min_by(rank, distance)", "arg_min(rank, (distance, rank))"))
+@query(f"""{FULL}, g AS (SELECT site_id, rank, (gx-cx)*(gx-cx) + (gy-cy)*(gy-cy) + (gz-cz)*(gz-cz) AS d2 FROM ranked JOIN gs ON ranked.protein_key = gs.protein_key),
+d AS (SELECT site_id, round(sqrt(min(d2)), 4) AS d, arg_min(rank, (d2, rank)) AS r FROM g GROUP BY site_id) SELECT CAST(r AS INT) AS rank, count(*) AS sites, count(*) FILTER (WHERE d <= 4) AS near FROM d GROUP BY r""")
 def nearest_rank_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Which rank the pocket nearest to each site has."""
-    d = compared(spark, sf)[2].groupBy("site_id").agg(F.min(F.struct("distance", "rank")).alias("b"))
-    return d.groupBy(F.col("b.rank").alias("rank")).agg(F.count("*").alias("sites"), F.count(F.when(F.col("b.distance") <= 4, 1)).alias("near"))
+    d = _nearest_pockets(pockets(spark, sf, keep=True))
+    return d.groupBy("rank").agg(F.count("*").alias("sites"), F.count(F.when(F.col("distance") <= 4, 1)).alias("near"))

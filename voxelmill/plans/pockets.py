@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from voxelmill.functions.expressions import rounded
-from voxelmill.operators import graph, spatial
+from voxelmill.functions.expressions import distance2, rounded
+from voxelmill.operators import graph, metrics as M, spatial
 from voxelmill.plans.registry import CLUSTERS, PTS, RES, points, query, residues
 from voxelmill.plans.spatial import D2, _graph_neighbours
 from voxelmill.storage import materialize
@@ -40,21 +41,33 @@ def clusters(pts: DataFrame, least: float = 0.88, radius: float = 3.0, size: int
     return core.join(pts.drop("protein_key"), "point_id")
 
 
-def aggregate(core: DataFrame, pts: DataFrame, radius: float = 3.5, power: float = 2.0, by: list[str] = ()) -> DataFrame:
+class Pockets(NamedTuple):
+    """Points, cores of clusters, ranked pockets and their grown members (``protein_key, cluster_id, point_id``)."""
+
+    points: DataFrame
+    core: DataFrame
+    ranked: DataFrame
+    grown: DataFrame
+
+
+def aggregate(core: DataFrame, grown: DataFrame, pts: DataFrame, power: float = 2.0) -> DataFrame:
     """Pocket scores over grown members, centres over the core; ranked inside each protein."""
     keys = ["protein_key", "cluster_id"]
-    grown = spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", radius).join(pts.drop("protein_key"), "point_id")
+    members = grown.join(pts.select("point_id", "prob", "residue_number"), "point_id")
     score = rounded(F.sum(F.pow("prob", F.lit(power)) if power != 2 else F.col("prob") * F.col("prob")), 6)
-    sums = grown.groupBy(*keys).agg(score.alias("score"), rounded(F.sum("prob"), 6).alias("sum_prob"), F.count("*").alias("sample_points"), F.countDistinct("residue_number").alias("surface_atoms"))
+    sums = members.groupBy(*keys).agg(score.alias("score"), rounded(F.sum("prob"), 6).alias("sum_prob"), F.count("*").alias("sample_points"), F.countDistinct("residue_number").alias("surface_atoms"))
     centre = core.groupBy(*keys).agg(*[rounded(F.avg(a), 5).alias(f"c{a}") for a in spatial.AXES])
     return graph.place(sums.join(centre, keys), "protein_key", F.desc("score"), "cluster_id")
 
 
-def pockets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Points, cores and ranked pockets; points and cores are written, as several joins read them."""
+def pockets(spark: SparkSession, sf: str, keep: bool = False) -> Pockets:
+    """Points and cores are written, as several joins read them; with ``keep`` pockets and members too."""
     pts = materialize(points(spark, sf), "points")
     core = materialize(clusters(pts), "core")
-    return pts, core, aggregate(core, pts)
+    grown = spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5)
+    grown = materialize(grown, "grown") if keep else grown
+    ranked = aggregate(core, grown, pts)
+    return Pockets(pts, core, materialize(ranked, "ranked") if keep else ranked, grown)
 
 
 COLS = "protein_key, cluster_id, score, sum_prob, sample_points, surface_atoms, cx, cy, cz, rank"
@@ -63,14 +76,13 @@ COLS = "protein_key, cluster_id, score, sum_prob, sample_points, surface_atoms,
 @query(f"{BASE} SELECT {COLS} FROM ranked")
 def pockets_ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Threshold, single linkage, growth, scoring and ranking."""
-    return pockets(spark, sf)[2].select(*COLS.split(", "))
+    return pockets(spark, sf).ranked.select(*COLS.split(", "))
 
 
 @query(f"{BASE} SELECT protein_key, cluster_id, point_id FROM grown")
 def cluster_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Members of each pocket: all points within 3.5 A of its core."""
-    pts, core, _ = pockets(spark, sf)
-    return spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5)
+    return pockets(spark, sf).grown
 
 
 @query(f"WITH RECURSIVE {PTS}, {TRUTH} SELECT protein_key, site_id, point_id FROM site")
@@ -84,42 +96,87 @@ def _sites(pts: DataFrame) -> DataFrame:
     return site.withColumnRenamed("cluster_id", "site_id").join(pts.select("point_id", "x", "y", "z"), "point_id")
 
 
-def compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pockets, sites and every pocket with every site of its protein: overlap, IoU, centre distance."""
-    pts, core, ranked = pockets(spark, sf)
-    ranked = materialize(ranked, "ranked")
-    site = materialize(_sites(pts), "site")
-    grown = materialize(spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5), "grown")
-    centre = site.groupBy("protein_key", "site_id").agg(F.count("*").alias("ng"), *[rounded(F.avg(a), 5).alias(f"g{a}") for a in spatial.AXES])
-    shared = grown.join(site.select("protein_key", "point_id", "site_id"), ["protein_key", "point_id"]).groupBy("protein_key", "cluster_id", "site_id").agg(F.count("*").alias("overlap"))
-    pairs = ranked.join(centre, "protein_key").join(shared, ["protein_key", "cluster_id", "site_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    gap = F.sqrt((F.col("cx") - F.col("gx")) * (F.col("cx") - F.col("gx")) + (F.col("cy") - F.col("gy")) * (F.col("cy") - F.col("gy")) + (F.col("cz") - F.col("gz")) * (F.col("cz") - F.col("gz")))
+class Truth(NamedTuple):
+    """Pockets, sites (``ng`` points, centre ``gx, gy, gz``), site points, and the pairs of pockets and sites that are looked at."""
+
+    made: Pockets
+    sites: DataFrame
+    site: DataFrame
+    pairs: DataFrame
+
+
+def _centres(site: DataFrame) -> DataFrame:
+    return site.groupBy("protein_key", "site_id").agg(F.count("*").alias("ng"), *[rounded(F.avg(a), 5).alias(f"g{a}") for a in spatial.AXES])
+
+
+def _described(pairs: DataFrame, ranked: DataFrame, sites: DataFrame) -> DataFrame:
+    """Adds IoU, centre distance, rank and score to ``protein_key, cluster_id, site_id, overlap``."""
+    rows = pairs.join(ranked, ["protein_key", "cluster_id"]).join(sites, ["protein_key", "site_id"])
+    gap = F.sqrt(distance2([F.col(f"c{a}") for a in "xyz"], [F.col(f"g{a}") for a in "xyz"]))
     iou = F.col("overlap") / (F.col("sample_points") + F.col("ng") - F.col("overlap"))
-    return ranked, centre, materialize(pairs.select("protein_key", "cluster_id", "site_id", "overlap", rounded(iou, 6).alias("iou"), rounded(gap, 4).alias("distance"), "rank", "score"), "compared")
+    return rows.select("protein_key", "cluster_id", "site_id", "overlap", rounded(iou, 6).alias("iou"), rounded(gap, 4).alias("distance"), "rank", "score")
+
+
+def _shared(grown: DataFrame, site: DataFrame) -> DataFrame:
+    return grown.join(site.select("protein_key", "point_id", "site_id"), ["protein_key", "point_id"]).groupBy("protein_key", "cluster_id", "site_id").agg(F.count("*").alias("overlap"))
+
+
+def compared(spark: SparkSession, sf: str, near: float = 6.0) -> Truth:
+    """Pockets, sites and the pairs that overlap or whose centres lie within ``near``; only such pairs are formed.
+
+    A little more than the radius is joined and the rounded distance decides,
+    as it does where all pairs are told.
+    """
+    made = pockets(spark, sf, keep=True)
+    site = materialize(_sites(made.points), "site")
+    sites = materialize(_centres(site), "sites")
+    keys = ["protein_key", "cluster_id", "site_id"]
+    centre = lambda df, name, p: df.select("protein_key", name, *[F.col(f"{p}{a}").alias(a) for a in spatial.AXES])
+    close = spatial.radius_join(centre(made.ranked, "cluster_id", "c"), centre(sites, "site_id", "g"), "protein_key", near + 0.001).select(*keys, F.lit(0).cast("long").alias("overlap"))
+    valid = _shared(made.grown, site).unionByName(close).groupBy(*keys).agg(F.max("overlap").alias("overlap"))
+    pairs = _described(valid, made.ranked, sites).where((F.col("overlap") >= 1) | (F.col("distance") <= near))
+    return Truth(made, sites, site, materialize(pairs, "compared"))
+
+
+def _both(truth: Truth) -> DataFrame:
+    """Proteins with pockets and sites."""
+    return truth.made.ranked.select("protein_key").distinct().join(truth.sites.select("protein_key").distinct(), "protein_key")
 
 
 @query(f"{FULL} SELECT protein_key, cluster_id, site_id, overlap, iou, distance FROM cmp")
 def pocket_site_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every pocket with every site of its protein."""
-    return compared(spark, sf)[2].select("protein_key", "cluster_id", "site_id", "overlap", "iou", "distance")
+    """Every pocket with every site of its protein: the one query that tells all pairs."""
+    made = pockets(spark, sf, keep=True)
+    site = materialize(_sites(made.points), "site")
+    sites = _centres(site)
+    keys = ["protein_key", "cluster_id", "site_id"]
+    every = made.ranked.select("protein_key", "cluster_id").join(sites.select("protein_key", "site_id"), "protein_key").join(_shared(made.grown, site), keys, "left").fillna(0, ["overlap"])
+    return _described(every, made.ranked, sites).select(*keys, "overlap", "iou", "distance")
 
 
 @query(f"{FULL}, best AS (SELECT protein_key, site_id, max(iou) AS b FROM cmp GROUP BY ALL) SELECT protein_key, round(avg(b), 6) AS mean_iou, max(b) AS best_iou, round(avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM best GROUP BY protein_key")
 def pocket_iou_gt(spark: SparkSession, sf: str) -> DataFrame:
     """Per protein, over its sites: mean and largest of their best IoU, and how many are hit at all."""
-    best = compared(spark, sf)[2].groupBy("protein_key", "site_id").agg(F.max("iou").alias("b"))
-    return best.groupBy("protein_key").agg(rounded(F.avg("b"), 6).alias("mean_iou"), F.max("b").alias("best_iou"), rounded(F.avg((F.col("b") > 0).cast("double")), 6).alias("coverage"))
+    truth = compared(spark, sf)
+    return _over_sites(truth).join(_both(truth), "protein_key", "left_semi")
+
+
+def _over_sites(truth: Truth) -> DataFrame:
+    """``protein_key, mean_iou, best_iou, coverage`` over the sites of every protein that has any; what no pocket meets counts 0."""
+    best = truth.pairs.groupBy("protein_key", "site_id").agg(F.max("iou").alias("b"))
+    every = truth.sites.select("protein_key", "site_id").join(best, ["protein_key", "site_id"], "left").fillna(0.0, ["b"])
+    return every.groupBy("protein_key").agg(rounded(F.avg("b"), 6).alias("mean_iou"), F.max("b").alias("best_iou"), rounded(F.avg((F.col("b") > 0).cast("double")), 6).alias("coverage"))
 
 
 @query(f"""{FULL}, p AS (SELECT protein_key, cluster_id, max(iou) AS b FROM cmp GROUP BY ALL), g AS (SELECT protein_key, site_id, max(iou) AS b FROM cmp GROUP BY ALL)
 SELECT * FROM (SELECT protein_key, round(avg(b), 6) AS mean_iou, max(b) AS best_iou, round(avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END), 6) AS precision FROM p GROUP BY protein_key) JOIN (SELECT protein_key, round(avg(CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM g GROUP BY protein_key) USING (protein_key)""")
 def pocket_iou_pred(spark: SparkSession, sf: str) -> DataFrame:
     """Per protein, over its pockets: mean and largest of their best IoU; precision and recall by any overlap."""
-    pairs = compared(spark, sf)[2]
-    hit = rounded(F.avg((F.col("b") > 0).cast("double")), 6)
-    preds = pairs.groupBy("protein_key", "cluster_id").agg(F.max("iou").alias("b")).groupBy("protein_key").agg(rounded(F.avg("b"), 6).alias("mean_iou"), F.max("b").alias("best_iou"), hit.alias("precision"))
-    sites = pairs.groupBy("protein_key", "site_id").agg(F.max("iou").alias("b")).groupBy("protein_key").agg(hit.alias("recall"))
-    return preds.join(sites, "protein_key")
+    truth = compared(spark, sf)
+    best = truth.pairs.groupBy("protein_key", "cluster_id").agg(F.max("iou").alias("b"))
+    every = truth.made.ranked.select("protein_key", "cluster_id").join(best, ["protein_key", "cluster_id"], "left").fillna(0.0, ["b"])
+    preds = every.groupBy("protein_key").agg(rounded(F.avg("b"), 6).alias("mean_iou"), F.max("b").alias("best_iou"), rounded(F.avg((F.col("b") > 0).cast("double")), 6).alias("precision"))
+    return preds.join(_over_sites(truth).select("protein_key", F.col("coverage").alias("recall")), "protein_key")
 
 
 @query(f"""{FULL}, k AS (SELECT unnest([1, 3, 5]) AS k), g AS (SELECT DISTINCT protein_key FROM gs),
@@ -127,17 +184,28 @@ h AS (SELECT g.protein_key, k.k, max(CASE WHEN cmp.rank <= k.k AND (overlap >= 1
 SELECT k, count(*) AS proteins, round(avg(hit), 6) AS hit_rate FROM h GROUP BY k""")
 def hit_rate_at_k(spark: SparkSession, sf: str) -> DataFrame:
     """Share of proteins with sites of which one of the first k pockets overlaps a site or lies within 6 A of its centre."""
-    _, sites, pairs = compared(spark, sf)
-    valid = pairs.where("overlap >= 1 OR distance <= 6").groupBy("protein_key").agg(F.min("rank").alias("first"))
-    rows = sites.select("protein_key").distinct().join(valid, "protein_key", "left").withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
+    truth = compared(spark, sf)
+    valid = truth.pairs.groupBy("protein_key").agg(F.min("rank").alias("first"))
+    rows = truth.sites.select("protein_key").distinct().join(valid, "protein_key", "left").withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
     return rows.groupBy("k").agg(F.count("*").alias("proteins"), rounded(F.avg(F.coalesce((F.col("first") <= F.col("k")).cast("double"), F.lit(0.0))), 6).alias("hit_rate"))
 
 
 @query(f"{FULL}, m AS (SELECT protein_key, site_id, min(distance) AS d FROM cmp GROUP BY ALL) SELECT protein_key, count(*) AS sites, round(avg(d), 4) AS mean_distance, round(quantile_cont(d, 0.5), 4) AS median_distance, min(d) AS least_distance FROM m GROUP BY protein_key")
 def center_distance(spark: SparkSession, sf: str) -> DataFrame:
     """Per protein, the distances of its sites' centres to the nearest pocket centre."""
-    m = compared(spark, sf)[2].groupBy("protein_key", "site_id").agg(F.min("distance").alias("d"))
-    return m.groupBy("protein_key").agg(F.count("*").alias("sites"), rounded(F.avg("d"), 4).alias("mean_distance"), rounded(F.expr("percentile(d, 0.5)"), 4).alias("median_distance"), F.min("d").alias("least_distance"))
+    m = _nearest_pockets(pockets(spark, sf, keep=True))
+    told = M.quantiles(m, ["protein_key"], "distance", {"median": 0.5})
+    sums = m.groupBy("protein_key").agg(rounded(F.avg("distance"), 4).alias("mean_distance"), F.min("distance").alias("least_distance"))
+    return sums.join(told, "protein_key").select("protein_key", F.col("n").alias("sites"), "mean_distance", rounded(F.col("median"), 4).alias("median_distance"), "least_distance")
+
+
+def _nearest_pockets(made: Pockets) -> DataFrame:
+    """``protein_key, site_id, cluster_id, distance, rank``: the pocket nearest to each site's centre, the first by rank of equals."""
+    sites = _centres(_sites(made.points)).select("protein_key", "site_id", *[F.col(f"g{a}").alias(a) for a in spatial.AXES])
+    centres = made.ranked.select("protein_key", F.col("rank").alias("pocket"), *[F.col(f"c{a}").alias(a) for a in spatial.AXES])
+    near = spatial.nearest_join(sites, centres, "protein_key", "site_id", "pocket", 12.0).withColumnRenamed("pocket", "rank")
+    named = near.join(made.ranked.select("protein_key", "rank", "cluster_id"), ["protein_key", "rank"])
+    return materialize(named.select("protein_key", "site_id", "cluster_id", rounded(F.sqrt("d2"), 4).alias("distance"), "rank"), "nearest")
 
 
 @query(f"""{FULL}, k AS (SELECT unnest([1, 3]) AS k),
@@ -147,37 +215,65 @@ both_d AS (SELECT gs.protein_key, gs.site_id, k.k, min(cmp.distance) FILTER (WHE
 SELECT k, count(*) AS sites, round(avg(CASE WHEN dcc <= 4 THEN 1.0 ELSE 0.0 END), 6) AS dcc_success, round(avg(CASE WHEN dca <= 4 THEN 1.0 ELSE 0.0 END), 6) AS dca_success, round(avg(dcc), 3) AS mean_dcc, round(avg(dca), 3) AS mean_dca FROM both_d GROUP BY k""")
 def dcc_dca_success(spark: SparkSession, sf: str) -> DataFrame:
     """Success at the first k pockets by distance to a site's centre (DCC) and to its nearest point (DCA); sites without pockets count as missed."""
-    ranked, sites, pairs = compared(spark, sf)
-    member = _sites(points(spark, sf)).select("protein_key", "site_id", "x", "y", "z")
-    near = ranked.select("protein_key", "rank", "cx", "cy", "cz").join(member, "protein_key")
-    d = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("y")) * (F.col("cy") - F.col("y")) + (F.col("cz") - F.col("z")) * (F.col("cz") - F.col("z"))
-    dca = near.groupBy("protein_key", "site_id", "rank").agg(rounded(F.sqrt(F.min(d)), 4).alias("dca"))
-    ks = F.explode(F.array(F.lit(1), F.lit(3))).alias("k")
-    all_sites = sites.select("protein_key", "site_id", ks)
-    both = pairs.select("protein_key", "site_id", "rank", "distance").join(dca, ["protein_key", "site_id", "rank"])
-    best = all_sites.join(both, ["protein_key", "site_id"], "left").groupBy("protein_key", "site_id", "k").agg(F.min(F.when(F.col("rank") <= F.col("k"), F.col("distance"))).alias("dcc"), F.min(F.when(F.col("rank") <= F.col("k"), F.col("dca"))).alias("dca"))
+    made = pockets(spark, sf, keep=True)
+    member = materialize(_sites(made.points), "site")
+    sites = _centres(member)
+    # no pocket beyond the third counts, so a site point meets three centres at most
+    top = made.ranked.where("rank <= 3").select("protein_key", "rank", "cx", "cy", "cz")
+    gap = lambda p: distance2([F.col(f"c{a}") for a in "xyz"], [F.col(f"{p}{a}") for a in "xyz"])
+    keys = ["protein_key", "site_id", "rank"]
+    dca = member.join(top, "protein_key").groupBy(*keys).agg(rounded(F.sqrt(F.min(gap(""))), 4).alias("dca"))
+    dcc = sites.join(top, "protein_key").select(*keys, rounded(F.sqrt(gap("g")), 4).alias("dcc"))
+    all_sites = sites.select("protein_key", "site_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("k"))
+    best = all_sites.join(dcc.join(dca, keys), ["protein_key", "site_id"], "left").groupBy("protein_key", "site_id", "k").agg(F.min(F.when(F.col("rank") <= F.col("k"), F.col("dcc"))).alias("dcc"), F.min(F.when(F.col("rank") <= F.col("k"), F.col("dca"))).alias("dca"))
     ok = lambda c: rounded(F.avg(F.coalesce((F.col(c) <= 4).cast("double"), F.lit(0.0))), 6)
     return best.groupBy("k").agg(F.count("*").alias("sites"), ok("dcc").alias("dcc_success"), ok("dca").alias("dca_success"), rounded(F.avg("dcc"), 3).alias("mean_dcc"), rounded(F.avg("dca"), 3).alias("mean_dca"))
 
 
-@query()
+#: Pairs in the order of the choice; a step takes the next one of every protein if both its ends are free.
+GREEDY = f"""{FULL}, valid AS (SELECT *, row_number() OVER (PARTITION BY protein_key ORDER BY iou DESC, distance, cluster_id, site_id) AS r FROM cmp WHERE overlap >= 1 OR distance <= 6),
+steps AS (SELECT protein_key, 0::BIGINT AS r, []::BIGINT[] AS ps, []::BIGINT[] AS ss, false AS taken FROM (SELECT DISTINCT protein_key FROM valid)
+  UNION ALL SELECT v.protein_key, v.r, CASE WHEN ok THEN list_append(ps, v.cluster_id) ELSE ps END, CASE WHEN ok THEN list_append(ss, v.site_id) ELSE ss END, ok
+  FROM (SELECT v.*, s.ps, s.ss, NOT list_contains(s.ps, v.cluster_id) AND NOT list_contains(s.ss, v.site_id) AS ok FROM steps s JOIN valid v ON v.protein_key = s.protein_key AND v.r = s.r + 1) v),
+match AS (SELECT valid.* FROM valid JOIN steps ON steps.protein_key = valid.protein_key AND steps.r = valid.r AND taken)"""
+
+
+def _matches(truth: Truth) -> DataFrame:
+    """One-to-one matches, by IoU from high to low, then by distance."""
+    return graph.greedy_match(truth.pairs, "cluster_id", "site_id", [-F.col("iou"), F.col("distance")])
+
+
+@query(f"{GREEDY} SELECT protein_key, cluster_id, site_id, overlap, iou, distance FROM match")
 def greedy_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """One-to-one matches of pockets and sites, by IoU from high to low, among pairs that overlap or lie within 6 A; no SQL, as the choice is sequential."""
-    pairs = compared(spark, sf)[2].where("overlap >= 1 OR distance <= 6")
-    return graph.greedy_match(pairs, "cluster_id", "site_id", [-F.col("iou"), F.col("distance")]).select("protein_key", "cluster_id", "site_id", "overlap", "iou", "distance")
+    """One-to-one matches of pockets and sites, by IoU from high to low, among pairs that overlap or lie within 6 A."""
+    return _matches(compared(spark, sf)).select("protein_key", "cluster_id", "site_id", "overlap", "iou", "distance")
 
 
-@query()
+MATCHED = f"""{GREEDY}, m AS (SELECT protein_key, count(*) AS tp, avg(iou) AS mi, avg(distance) AS md FROM match GROUP BY protein_key), a AS (SELECT protein_key, count(*) AS pockets FROM ranked GROUP BY protein_key), b AS (SELECT protein_key, count(*) AS sites FROM gs GROUP BY protein_key),
+j AS (SELECT coalesce(a.protein_key, b.protein_key) AS protein_key, coalesce(pockets, 0) AS pockets, coalesce(sites, 0) AS sites FROM a FULL JOIN b ON a.protein_key = b.protein_key),
+per AS (SELECT j.*, coalesce(tp, 0) AS tp, coalesce(tp, 0)/(pockets+1e-8) AS p, coalesce(tp, 0)/(sites+1e-8) AS r, coalesce(mi, 0) AS mi, md FROM j LEFT JOIN m ON j.protein_key = m.protein_key)"""
+
+
+@query(f"{MATCHED} SELECT protein_key, pockets, sites, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(2*p*r/(p+r+1e-8), 6) AS f1, round(mi, 6) AS mean_iou, coalesce(round(md, 4), CAST('inf' AS DOUBLE)) AS mean_distance FROM per")
 def match_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Per protein: precision, recall and F1 of the matches, mean IoU and mean distance (infinite without matches)."""
-    ranked, sites, pairs = compared(spark, sf)
-    match = graph.greedy_match(pairs.where("overlap >= 1 OR distance <= 6"), "cluster_id", "site_id", [-F.col("iou"), F.col("distance")])
-    m = match.groupBy("protein_key").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"), F.avg("distance").alias("mean_distance"))
-    rows = ranked.groupBy("protein_key").agg(F.count("*").alias("pockets")).join(sites.groupBy("protein_key").agg(F.count("*").alias("sites")), "protein_key", "full").join(m, "protein_key", "left").fillna(0, ["tp", "pockets", "sites"])
+    truth = compared(spark, sf)
+    m = _matches(truth).groupBy("protein_key").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"), F.avg("distance").alias("mean_distance"))
+    rows = truth.made.ranked.groupBy("protein_key").agg(F.count("*").alias("pockets")).join(truth.sites.groupBy("protein_key").agg(F.count("*").alias("sites")), "protein_key", "full").join(m, "protein_key", "left").fillna(0, ["tp", "pockets", "sites"])
     p, r = F.col("tp") / (F.col("pockets") + 1e-8), F.col("tp") / (F.col("sites") + 1e-8)
     return rows.select("protein_key", "pockets", "sites", "tp", rounded(p, 6).alias("precision"), rounded(r, 6).alias("recall"), rounded(2 * p * r / (p + r + 1e-8), 6).alias("f1"), rounded(F.coalesce("mean_iou", F.lit(0.0)), 6).alias("mean_iou"), F.coalesce(rounded(F.col("mean_distance"), 4), F.lit(float("inf"))).alias("mean_distance"))
 
 
+@query(f"""{GREEDY}, d AS (SELECT min(cmp.distance) AS d FROM cmp GROUP BY protein_key, site_id)
+SELECT (SELECT count(*) FROM match) AS matches, (SELECT round(avg(distance), 4) FROM match) AS mean_matched, (SELECT round(quantile_cont(distance, 0.5), 4) FROM match) AS median_matched, round(avg(d), 4) AS mean_least, round(quantile_cont(d, 0.5), 4) AS median_least FROM d""")
+def matched_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Centre distances over all proteins: of the matches, and of each site to its nearest pocket."""
+    truth = compared(spark, sf)
+    told = lambda rows, n: M.quantiles(rows, [], "distance", {"q": 0.5}).select(F.col("n").alias(f"n_{n}"), rounded(F.col("q"), 4).alias(f"median_{n}"), F.lit(1).alias("k")).join(rows.agg(rounded(F.avg("distance"), 4).alias(f"mean_{n}"), F.lit(1).alias("k")), "k")
+    both = told(materialize(_matches(truth), "match"), "matched").join(told(_nearest_pockets(truth.made), "least"), "k")
+    return both.select(F.col("n_matched").alias("matches"), "mean_matched", "median_matched", "mean_least", "median_least")
+
+
 @query(f"""{BOTH}, t AS (SELECT unnest([0.5, 0.7, 0.88, 0.95]) AS t),
 m AS (SELECT protein_key, t, count(*) FILTER (WHERE prob >= t AND coalesce(label, 0) = 1) AS i, count(*) FILTER (WHERE prob >= t OR coalesce(label, 0) = 1) AS u FROM pts CROSS JOIN t GROUP BY ALL),
 v AS (SELECT *, CASE WHEN u = 0 THEN 1.0 ELSE i / u END AS iou FROM m)
@@ -236,9 +332,37 @@ def residue_components(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("size >= 5 AND t >= 2 AND score >= 0.1").select("protein_key", "cluster_id", "size", rounded(F.col("t"), 6).alias("sum_prob"), "cx", "cy", "cz", "surface", "score")
 
 
+def _suppressed(kept_near: str) -> str:
+    """SQL of suppression by rank: a step takes the next pocket of every protein unless a kept centre is near."""
+    return f"""{BASE}, steps AS (SELECT protein_key, 0::BIGINT AS r, []::STRUCT(x DOUBLE, y DOUBLE, z DOUBLE)[] AS kept, false AS ok, NULL::BIGINT AS cluster_id FROM (SELECT DISTINCT protein_key FROM ranked)
+  UNION ALL SELECT protein_key, rank, CASE WHEN free THEN list_append(kept, {{'x': cx, 'y': cy, 'z': cz}}) ELSE kept END, free, cluster_id
+  FROM (SELECT p.*, s.kept, len(list_filter(s.kept, lambda k: (k.x-p.cx)*(k.x-p.cx) + (k.y-p.cy)*(k.y-p.cy) + (k.z-p.cz)*(k.z-p.cz) {kept_near} 36.0)) = 0 AS free FROM steps s JOIN ranked p ON p.protein_key = s.protein_key AND p.rank = s.r + 1))
+SELECT protein_key, cluster_id FROM steps WHERE ok"""
+
+
+def _nms(spark: SparkSession, sf: str, near: str) -> DataFrame:
+    ranked = materialize(pockets(spark, sf).ranked, "ranked")
+    centres = ranked.select("protein_key", "cluster_id", *[F.col(f"c{a}").alias(a) for a in spatial.AXES])
+    pairs = spatial.radius_pairs(centres, "protein_key", "cluster_id", 6.0).where(near).select("a", "b")
+    kept = graph.greedy_suppression(ranked, "cluster_id", [F.col("rank")], materialize(pairs, "near"))
+    return ranked.join(kept, "cluster_id", "left_semi").select("protein_key", "cluster_id")
+
+
+@query(_suppressed("<"))
+def nms_pockets(spark: SparkSession, sf: str) -> DataFrame:
+    """Pockets kept by greedy suppression of centres less than 6 A apart, by rank."""
+    return _nms(spark, sf, "d2 < 36")
+
+
+@query(_suppressed("<="))
+def nms_pockets_inclusive(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, 6 A itself being near."""
+    return _nms(spark, sf, "d2 <= 36")
+
+
 @query()
 def nms_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Strong points kept by greedy suppression within 6 A (exclusive), by probability, then id; no SQL, as the choice is sequential."""
+    """Strong points kept by greedy suppression within 6 A (exclusive), by probability, then id; no SQL, as the choice is sequential over all strong points."""
     strong = materialize(points(spark, sf).where("prob >= 0.88").select("protein_key", "point_id", "prob", "x", "y", "z"), "strong")
     near = materialize(spatial.radius_pairs(strong, "protein_key", "point_id", 6.0).where("d2 < 36").select("a", "b"), "near")
     return graph.greedy_suppression(strong, "point_id", [-F.col("prob")], near)
@@ -248,7 +372,7 @@ def nms_points(spark: SparkSession, sf: str) -> DataFrame:
 SELECT protein_key, cluster_id, score, rank, n_pockets FROM passed WHERE place <= 3""")
 def pocket_filters(spark: SparkSession, sf: str) -> DataFrame:
     """Pockets past the filters, three a protein; ranks keep their gaps, n_pockets counts what passed."""
-    passed = pockets(spark, sf)[2].where("sum_prob >= 5 AND sample_points >= 6")
+    passed = pockets(spark, sf).ranked.where("sum_prob >= 5 AND sample_points >= 6")
     w = Window.partitionBy("protein_key")
     passed = passed.withColumn("n_pockets", F.count("*").over(w).cast("int")).withColumn("place", F.row_number().over(w.orderBy("rank")))
     return passed.where("place <= 3").select("protein_key", "cluster_id", "score", "rank", "n_pockets")
@@ -257,28 +381,29 @@ def pocket_filters(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{BASE}, top AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY prob DESC, point_id) AS r FROM grown) SELECT cluster_id, round(sum(prob*prob), 6) AS score FROM top WHERE r <= 5 GROUP BY cluster_id""")
 def score_point_limit(spark: SparkSession, sf: str) -> DataFrame:
     """Pocket scores from the five strongest members only."""
-    pts, core, _ = pockets(spark, sf)
-    grown = spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5).join(pts.select("point_id", "prob"), "point_id")
+    made = pockets(spark, sf)
+    grown = made.grown.join(made.points.select("point_id", "prob"), "point_id")
     top = graph.place(grown, "cluster_id", F.desc("prob"), "point_id").where("rank <= 5")
     return top.groupBy("cluster_id").agg(rounded(F.sum(F.col("prob") * F.col("prob")), 6).alias("score"))
 
 
-@query(f"""WITH {PTS}, s AS (SELECT * FROM pts WHERE prob >= 0.88), d AS (SELECT a.point_id, count(*) - 1 AS near FROM s a JOIN pts b ON a.protein_key = b.protein_key AND {D2} <= 4.0 GROUP BY a.point_id)
-SELECT point_id, near, round(prob*prob / greatest(1, near), 6) AS balanced FROM s JOIN d USING (point_id)""")
+@query(f"""{BASE}, g AS (SELECT DISTINCT protein_key, point_id FROM grown), m AS (SELECT pts.* FROM pts JOIN g ON pts.protein_key = g.protein_key AND pts.point_id = g.point_id),
+d AS (SELECT a.point_id, count(*) AS near FROM m a JOIN pts b ON a.protein_key = b.protein_key AND {D2} <= 4.0 GROUP BY a.point_id)
+SELECT m.point_id, near, round(prob*prob / near, 6) AS balanced FROM m JOIN d ON m.point_id = d.point_id""")
 def density_balance(spark: SparkSession, sf: str) -> DataFrame:
-    """Squared probability of strong points over the number of the protein's points within 2 A."""
-    pts = points(spark, sf).select("protein_key", "point_id", "prob", "x", "y", "z")
-    near = spatial.radius_join(pts.where("prob >= 0.88"), pts.select("protein_key", F.col("point_id").alias("other"), "x", "y", "z"), "protein_key", 2.0)
-    out = near.groupBy("point_id", "prob").agg((F.count("*") - 1).alias("near"))
-    return out.select("point_id", "near", rounded(F.col("prob") * F.col("prob") / F.greatest(F.lit(1), "near"), 6).alias("balanced"))
+    """Squared probability of every member of a pocket over the number of the protein's points within 2 A, itself counted."""
+    made = pockets(spark, sf)
+    pts = made.points.select("protein_key", "point_id", "prob", "x", "y", "z")
+    members = pts.join(made.grown.select("protein_key", "point_id").distinct(), ["protein_key", "point_id"], "left_semi")
+    near = spatial.radius_join(members, pts.select("protein_key", F.col("point_id").alias("other"), "x", "y", "z"), "protein_key", 2.0)
+    return near.groupBy("point_id", "prob").agg(F.count("*").alias("near")).select("point_id", "near", rounded(F.col("prob") * F.col("prob") / F.col("near"), 6).alias("balanced"))
 
 
 @query()
 def hull_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Convex-hull volume of each pocket's grown members; no SQL."""
-    pts = materialize(points(spark, sf), "points")
-    core = materialize(clusters(pts), "core")
-    grown = spatial.grow(core, pts, "protein_key", "cluster_id", "point_id", 3.5).join(pts.select("point_id", *spatial.AXES), "point_id")
+    made = pockets(spark, sf)
+    grown = made.grown.join(made.points.select("point_id", *spatial.AXES), "point_id")
     return graph.hull_volumes(grown, "protein_key", "cluster_id").withColumn("volume", rounded(F.col("volume"), 4))
 
 

@@ -24,7 +24,7 @@ SELECT point_id, round(sum(CASE WHEN d2 <= 36 THEN greatest(0.0, 1 - sqrt(d2)/6)
   count(*) FILTER (WHERE d2 <= 36) AS atoms, count(*) AS protrusion FROM near GROUP BY point_id""")
 def neighbour_weighted_features(spark: SparkSession, sf: str) -> DataFrame:
     """Of residues within 6 A of each point, sums weighted by 1 - d/6; of those within 11.3 A, the number."""
-    near = spatial.radius_join(points(spark, sf).select("protein_key", "point_id", "x", "y", "z"), residues(spark, sf).select("protein_key", "residue_uid", "rsa", "x", "y", "z"), "protein_key", 11.3)
+    near = spatial.radius_join(points(spark, sf).select("protein_key", "point_id", "x", "y", "z"), residues(spark, sf).select("protein_key", "residue_uid", "rsa", "x", "y", "z"), "protein_key", 11.3, spread="right")
     w = F.when(F.col("d2") <= 36, falloff(F.sqrt("d2")))
     return near.groupBy("point_id").agg(rounded(F.sum(w), 5).alias("weight"), rounded(F.sum(w * F.col("rsa")), 5).alias("rsa_sum"), F.count(w).alias("atoms"), F.count("*").alias("protrusion"))
 
@@ -123,7 +123,7 @@ SELECT protein_key, count(*) AS points, count(hit.point_id) AS near, round(count
 def spatial_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Share of a protein's points that have a residue within 4 A."""
     rows = points(spark, sf).select("protein_key", "point_id", "x", "y", "z")
-    hit = spatial.radius_join(rows, residues(spark, sf).select("protein_key", "residue_uid", "x", "y", "z"), "protein_key", 4.0).select("point_id").distinct().withColumn("hit", F.lit(1))
+    hit = spatial.radius_join(rows, residues(spark, sf).select("protein_key", "residue_uid", "x", "y", "z"), "protein_key", 4.0, spread="right").select("point_id").distinct().withColumn("hit", F.lit(1))
     out = rows.join(hit, "point_id", "left").groupBy("protein_key").agg(F.count("*").alias("points"), F.count("hit").alias("near"))
     return out.withColumn("share", rounded(F.col("near") / F.col("points"), 6))
 
