@@ -102,7 +102,8 @@ def knn_join(queries: DataFrame, points: DataFrame, group: str, query: str, item
     far = right.select(*[c for c in right.columns if c not in AXES], *[F.col(a).alias(f"r{a}") for a in AXES])
     whole = todo.join(small, group, "left_semi").join(far.join(small, group, "left_semi"), group).withColumn("d2", distance2([F.col(a) for a in AXES], [F.col(f"r{a}") for a in AXES]))
     found.append(best(whole if exclude is None else whole.where(exclude)))
-    todo = materialize(todo.join(small, group, "left_anti"), "open")
+    large = sizes.where(F.col("count") > SMALL_GROUP).select(group)  # a group without points finds nothing at any radius
+    todo = materialize(todo.join(large, group, "left_semi"), "open")
     while not todo.isEmpty():
         radius *= 2
         top = materialize(best(radius_join(todo, right, group, radius, exclude)), "knn")

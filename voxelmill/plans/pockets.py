@@ -201,7 +201,7 @@ def center_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 def _nearest_pockets(made: Pockets) -> DataFrame:
     """``protein_key, site_id, cluster_id, distance, rank``: the pocket nearest to each site's centre, the first by rank of equals."""
-    sites = _centres(_sites(made.points)).select("protein_key", "site_id", *[F.col(f"g{a}").alias(a) for a in spatial.AXES])
+    sites = materialize(_centres(_sites(made.points)).select("protein_key", "site_id", *[F.col(f"g{a}").alias(a) for a in spatial.AXES]), "sites")
     centres = made.ranked.select("protein_key", F.col("rank").alias("pocket"), *[F.col(f"c{a}").alias(a) for a in spatial.AXES])
     near = spatial.nearest_join(sites, centres, "protein_key", "site_id", "pocket", 12.0).withColumnRenamed("pocket", "rank")
     named = near.join(made.ranked.select("protein_key", "rank", "cluster_id"), ["protein_key", "rank"])
