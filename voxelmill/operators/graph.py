@@ -49,18 +49,24 @@ def _component_kernel(table: pa.Table, starts: np.ndarray) -> pa.Table:
     nodes, at = np.unique(both, axis=0, return_inverse=True)
     at = at.reshape(-1, 2)
     root = kernels.components(len(nodes), at[:, 0], at[:, 1])
-    return pa.table({"id": nodes[:, 1], "component": nodes[root, 1]})
+    g = table.column("g").take(pa.array(starts[:-1])).take(pa.array(nodes[:, 0]))
+    return pa.table({"g": g, "id": nodes[:, 1], "component": nodes[root, 1]})
 
 
-def group_components(edges: DataFrame, group: str, whole: int = 1_000_000) -> DataFrame:
-    """``id, component`` for edges ``a, b`` that never leave their group. Groups of over ``whole`` edges are contracted as a table."""
+def group_components(edges: DataFrame, group: str, whole: int = 1_000_000, keep_group: bool = False) -> DataFrame:
+    """``id, component`` for edges ``a, b`` that never leave their group; with ``keep_group``, where ids of different groups may be equal, with the group.
+
+    Groups of over ``whole`` edges are contracted as a table.
+    """
     rows = materialize(edges.select(F.col(group).alias("g"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
     sizes = rows.groupBy("g").count().where(F.col("count") > whole).select("g")
-    kind = "id long, component long"
+    kind = f"g {dict(rows.dtypes)['g']}, id long, component long"
+    out = lambda df: df.select(*([F.col("g").alias(group)] if keep_group else []), "id", "component")
     if sizes.isEmpty():
-        return map_groups(rows, ["g"], _component_kernel, kind)
+        return out(map_groups(rows, ["g"], _component_kernel, kind))
     small = map_groups(rows.join(sizes, "g", "left_anti"), ["g"], _component_kernel, kind)
-    return small.union(connected_components(rows.join(sizes, "g", "left_semi")))
+    big = rows.join(sizes, "g", "left_semi").select(F.struct("g", F.col("a").alias("i")).alias("a"), F.struct("g", F.col("b").alias("i")).alias("b"))
+    return out(small).union(out(connected_components(big).select("id.g", F.col("id.i").alias("id"), F.col("component.i").alias("component"))))
 
 
 def _cluster_kernel(radius: float, least: int, table: pa.Table, starts: np.ndarray) -> pa.Table | None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelmill.plans import ensembles, extras, metrics, mining, pockets, prep, spatial  # noqa: F401  (they register their queries)
+from voxelmill.plans import ensembles, extras, files, metrics, mining, pipeline, pockets, prep, spatial  # noqa: F401  (they register their queries)
 from voxelmill.plans.registry import QUERIES, SQL
 
 

@@ -15,9 +15,9 @@ from voxelmill.storage import materialize
 
 GROW = f"""grown AS (SELECT DISTINCT a.protein_key, a.cluster_id, b.point_id, b.prob, b.residue_number FROM core a JOIN pts b ON a.protein_key = b.protein_key AND {D2} <= 3.5*3.5)"""
 AGG = """pocket AS (
-  SELECT g.protein_key, g.cluster_id, g.score, g.sum_prob, g.sample_points, g.surface_atoms, c.cx, c.cy, c.cz FROM
-  (SELECT protein_key, cluster_id, round(sum(prob*prob), 6) AS score, round(sum(prob), 6) AS sum_prob, count(*) AS sample_points, count(DISTINCT residue_number) AS surface_atoms FROM grown GROUP BY ALL) g
-  JOIN (SELECT protein_key, cluster_id, round(avg(x), 5) AS cx, round(avg(y), 5) AS cy, round(avg(z), 5) AS cz FROM core GROUP BY ALL) c USING (protein_key, cluster_id)),
+  SELECT g.protein_key, g.cluster_id, g.score, g.sum_prob, c.sample_points, g.members, g.surface_atoms, c.cx, c.cy, c.cz FROM
+  (SELECT protein_key, cluster_id, round(sum(prob*prob), 6) AS score, round(sum(prob), 6) AS sum_prob, count(*) AS members, count(DISTINCT residue_number) AS surface_atoms FROM grown GROUP BY ALL) g
+  JOIN (SELECT protein_key, cluster_id, count(*) AS sample_points, round(avg(x), 5) AS cx, round(avg(y), 5) AS cy, round(avg(z), 5) AS cz FROM core GROUP BY ALL) c USING (protein_key, cluster_id)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY protein_key ORDER BY score DESC, cluster_id) AS INT) AS rank FROM pocket)"""
 BASE = f"WITH RECURSIVE {PTS}, " + CLUSTERS.format(least=0.88, radius=3.0, size=3) + f", {GROW}, {AGG}"
 TRUTH = f"""gpts AS (SELECT * FROM pts WHERE label >= 0.5),
@@ -51,12 +51,12 @@ class Pockets(NamedTuple):
 
 
 def aggregate(core: DataFrame, grown: DataFrame, pts: DataFrame, power: float = 2.0) -> DataFrame:
-    """Pocket scores over grown members, centres over the core; ranked inside each protein."""
+    """Pocket scores over grown members, sample points and centres over the core; ranked inside each protein."""
     keys = ["protein_key", "cluster_id"]
     members = grown.join(pts.select("point_id", "prob", "residue_number"), "point_id")
     score = rounded(F.sum(F.pow("prob", F.lit(power)) if power != 2 else F.col("prob") * F.col("prob")), 6)
-    sums = members.groupBy(*keys).agg(score.alias("score"), rounded(F.sum("prob"), 6).alias("sum_prob"), F.count("*").alias("sample_points"), F.countDistinct("residue_number").alias("surface_atoms"))
-    centre = core.groupBy(*keys).agg(*[rounded(F.avg(a), 5).alias(f"c{a}") for a in spatial.AXES])
+    sums = members.groupBy(*keys).agg(score.alias("score"), rounded(F.sum("prob"), 6).alias("sum_prob"), F.count("*").alias("members"), F.countDistinct("residue_number").alias("surface_atoms"))
+    centre = core.groupBy(*keys).agg(F.count("*").alias("sample_points"), *[rounded(F.avg(a), 5).alias(f"c{a}") for a in spatial.AXES])
     return graph.place(sums.join(centre, keys), "protein_key", F.desc("score"), "cluster_id")
 
 
@@ -70,7 +70,7 @@ def pockets(spark: SparkSession, sf: str, keep: bool = False) -> Pockets:
     return Pockets(pts, core, materialize(ranked, "ranked") if keep else ranked, grown)
 
 
-COLS = "protein_key, cluster_id, score, sum_prob, sample_points, surface_atoms, cx, cy, cz, rank"
+COLS = "protein_key, cluster_id, score, sum_prob, sample_points, members, surface_atoms, cx, cy, cz, rank"
 
 
 @query(f"{BASE} SELECT {COLS} FROM ranked")
@@ -113,7 +113,7 @@ def _described(pairs: DataFrame, ranked: DataFrame, sites: DataFrame) -> DataFra
     """Adds IoU, centre distance, rank and score to ``protein_key, cluster_id, site_id, overlap``."""
     rows = pairs.join(ranked, ["protein_key", "cluster_id"]).join(sites, ["protein_key", "site_id"])
     gap = F.sqrt(distance2([F.col(f"c{a}") for a in "xyz"], [F.col(f"g{a}") for a in "xyz"]))
-    iou = F.col("overlap") / (F.col("sample_points") + F.col("ng") - F.col("overlap"))
+    iou = F.col("overlap") / (F.col("members") + F.col("ng") - F.col("overlap"))
     return rows.select("protein_key", "cluster_id", "site_id", "overlap", rounded(iou, 6).alias("iou"), rounded(gap, 4).alias("distance"), "rank", "score")
 
 

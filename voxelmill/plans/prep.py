@@ -173,7 +173,7 @@ def islands_ranges(spark: SparkSession, sf: str) -> DataFrame:
 def structure_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Points written as fixed-width records and read back by columns."""
     rows = points(spark, sf).where("residue_name IS NOT NULL AND chain_id IS NOT NULL AND residue_number >= 0")
-    lines = rows.select("point_id", structures.atom_line("ATOM", F.col("residue_name"), F.col("chain_id"), F.col("residue_number"), F.col("x"), F.col("y"), F.col("z")).alias("line"))
+    lines = rows.select("point_id", structures.record_line("ATOM", F.col("point_idx"), F.lit("CA"), F.col("residue_name"), F.col("chain_id"), F.col("residue_number"), (F.col("x"), F.col("y"), F.col("z"))).alias("line"))
     return structures.parse_atoms(lines).select("point_id", "residue_name", "chain_id", "residue_number", "x", "y", "z", "occupancy", "element")
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxelmill.functions.expressions import stem
 
 
-def dataset_list(lines: DataFrame, line: str = "line") -> DataFrame:
-    """``entry``: lines of a list without blanks, ``#`` comments and ``PARAM.`` lines, each once."""
-    rows = lines.select(F.trim(F.col(line)).alias("entry"))
-    return rows.where((F.col("entry") != "") & ~F.col("entry").startswith("#") & ~F.col("entry").startswith("PARAM.")).distinct()
+def dataset_list(lines: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
+    """``entry``: lines of a list without blanks, ``#`` comments and ``PARAM.`` lines, each once; with ``order``, ``place`` is that of its first line."""
+    rows = lines.select(F.trim(F.col(line)).alias("entry"), (F.col(order) if order else F.lit(None)).alias("place"))
+    rows = rows.where((F.col("entry") != "") & ~F.col("entry").startswith("#") & ~F.col("entry").startswith("PARAM."))
+    return rows.groupBy("entry").agg(F.min("place").alias("place")) if order else rows.select("entry").distinct()
 
 
 def feature_csv(spark: SparkSession, path: str, chain: str | None = None) -> DataFrame:
@@ -27,9 +28,9 @@ def has_features(df: DataFrame, required: list[str]) -> bool:
 
 
 def property_table(spark: SparkSession, path: str) -> DataFrame:
-    """A small dimension by atom name: numbers as doubles, white space behind commas ignored."""
+    """A small dimension by atom name: numbers as doubles, null where they are none, white space behind commas ignored."""
     df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.select(*[F.col(c) if c == "atomName" else F.col(c).cast("double") for c in df.columns])
+    return df.select(*[F.col(c) if c == "atomName" else F.col(c).try_cast("double").alias(c) for c in df.columns])
 
 
 def site_text(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -87,6 +88,28 @@ def islands(df: DataFrame, key: str, order: str) -> DataFrame:
     return numbered.groupBy("island").agg(F.first("k").alias(key), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
+def last_runs(df: DataFrame, key: str, order: str) -> DataFrame:
+    """``key, first, last, n``: the last run of every key in ``order``, which is the one that a reader of ranges keeps."""
+    runs = islands(df, key, order)
+    best = runs.groupBy(key).agg(F.max(F.struct("first", "last", "n")).alias("b"))
+    return best.select(key, "b.first", "b.last", "b.n")
+
+
+def resolve(wanted: DataFrame, ident: str, candidates: list[Column], existing: DataFrame, path: str) -> DataFrame:
+    """``ident, path``: of each id's candidates in turn the first that exists; ids without one have none."""
+    tried = wanted.select(ident, F.posexplode(F.array(*candidates)).alias("_p", path))
+    found = tried.join(existing.select(path).distinct(), path, "left_semi").groupBy(ident).agg(F.min(F.struct("_p", path)).alias("b"))
+    return wanted.select(ident).distinct().join(found, ident, "left").select(ident, F.col(f"b.{path}").alias(path))
+
+
+def substrings(text: Column, least: int, most: int) -> Column:
+    """All different substrings of ``least`` to ``most`` signs: what an equi-join takes for a search by substring."""
+    n = F.length(text)
+    of = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.substring(text, at, size))
+    sizes = F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(F.lit(most), n)))
+    return F.when(n >= least, F.array_distinct(F.flatten(F.transform(sizes, of)))).otherwise(F.array())
+
+
 def file_keys(df: DataFrame, path: str) -> DataFrame:
     """Adds ``protein_id``, the file's stem in lower case without a chain."""
     return df.withColumn("protein_id", F.lower(F.regexp_replace(stem(F.col(path)), r"_[A-Za-z]{1,2}$", "")))

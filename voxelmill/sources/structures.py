@@ -22,23 +22,36 @@ def parse_atoms(lines: DataFrame, line: str = "line") -> DataFrame:
     """ATOM and HETATM records by their columns; the other columns of ``lines`` are kept.
 
     A blank occupancy or temperature factor is 0; a blank element is the first
-    letter of the atom name. Lines whose place or residue number is no number
-    are left out.
+    letter of the atom name, and elements are upper-case. Lines on which a
+    number is none, the serial number too, are left out.
     """
     cut = lambda a, b: F.trim(F.substring(F.col(line), a + 1, b - a))
     number = lambda a, b: cut(a, b).try_cast("double")
-    atom, element = cut(12, 16), cut(76, 78)
+    filled = lambda a, b: F.when(cut(a, b) == "", F.lit(0.0)).otherwise(number(a, b))
+    atom, element = cut(12, 16), F.upper(cut(76, 78))
     rows = lines.where(F.substring(F.col(line), 1, 6).isin("ATOM  ", "HETATM")).select(
         *[c for c in lines.columns if c != line], cut(0, 6).alias("record"), cut(6, 11).try_cast("int").alias("atom_id"), atom.alias("atom_name"), cut(17, 20).alias("residue_name"),
         cut(21, 22).alias("chain_id"), cut(22, 26).try_cast("int").alias("residue_number"), number(30, 38).alias("x"), number(38, 46).alias("y"), number(46, 54).alias("z"),
-        F.coalesce(number(54, 60), F.lit(0.0)).alias("occupancy"), F.coalesce(number(60, 66), F.lit(0.0)).alias("bfactor"), F.when(element == "", F.substring(atom, 1, 1)).otherwise(element).alias("element"),
+        filled(54, 60).alias("occupancy"), filled(60, 66).alias("bfactor"), F.when(element == "", F.upper(F.substring(atom, 1, 1))).otherwise(element).alias("element"),
     )
-    return rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND residue_number IS NOT NULL")
+    return rows.where(" AND ".join(f"{c} IS NOT NULL" for c in ("atom_id", "residue_number", "x", "y", "z", "occupancy", "bfactor")))
 
 
-def atom_line(record: str, residue: Column, chain: Column, number: Column, x: Column, y: Column, z: Column) -> Column:
-    """A record as text, for sinks and round trips."""
-    return F.concat(F.rpad(F.lit(record), 6, " "), F.lit("      CA  "), F.lit(" "), F.lpad(residue, 3, " "), F.lit(" "), F.rpad(chain, 1, " "), F.lpad(number.cast("string"), 4, " "), F.lit("    "), *[F.lpad(F.format_string("%.3f", v), 8, " ") for v in (x, y, z)])
+def record_line(record: str | Column, serial: Column, atom: Column, residue: Column, chain: Column, number: Column, place: tuple[Column, Column, Column], occupancy: Column | None = None, bfactor: Column | None = None, element: Column | None = None) -> Column:
+    """A record as text, for sinks and round trips; serial numbers go on from 99999 to 0."""
+    record = F.lit(record) if isinstance(record, str) else record
+    left, right = (lambda c, n: F.rpad(c, n, " ")), (lambda c, n: F.lpad(c, n, " "))
+    two = lambda c: F.lit(" " * 6) if c is None else right(F.format_string("%.2f", c), 6)
+    return F.concat(
+        left(record, 6), right((serial % 100_000).cast("string"), 5), F.lit(" "), left(F.concat(F.when(F.length(atom) < 4, " ").otherwise(""), atom), 4), F.lit(" "), right(residue, 3), F.lit(" "), left(chain, 1), right(number.cast("string"), 4), F.lit("    "),
+        *[right(F.format_string("%.3f", v), 8) for v in place], two(occupancy), two(bfactor), F.lit(" " * 10), right(element if element is not None else F.lit(""), 2),
+    )
+
+
+def heavy_atoms(atoms: DataFrame, least_radius: float = 1.0, radius: str | None = None) -> DataFrame:
+    """Atoms that make up a surface: no solvent, no hydrogen, and none whose radius, if there is one, is under 1."""
+    rows = atoms.where(~F.col("residue_name").isin(*SOLVENTS) & (F.col("element") != "H"))
+    return rows.where(F.col(radius) >= least_radius) if radius else rows
 
 
 def ligands(atoms: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -27,14 +27,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
+def keep(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder for a table that the caller writes; deleted at exit."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    return path
+
+
+def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back."""
+    spark = df.sparkSession
+    path = keep(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
