@@ -86,8 +86,8 @@ def in_splits(df: DataFrame, group: str, order: str, split: str, wanted: list[in
     """Groups whose first row is of a wanted split; all groups where no group is."""
     first = first_row_split(df, group, order, split)
     asked = first.where(F.col(split).isin(wanted))
-    none = asked.agg((F.count("*") == 0).alias("_none"))
-    return first.crossJoin(F.broadcast(none)).where(F.col("_none") | F.coalesce(F.col(split).isin(wanted), F.lit(False))).drop("_none")  # none: one row
+    none = asked.select(F.count("*") == 0).scalar()
+    return first.where(none | F.coalesce(F.col(split).isin(wanted), F.lit(False)))
 
 
 def running_fallback(df: DataFrame, keys: list[str], order: str, number: Column, width: int = 100_000) -> DataFrame:

@@ -32,14 +32,26 @@ def knn_padded(spark: SparkSession, sf: str) -> DataFrame:
     return slots.join(near, ["residue_uid", "rank"], "left").select("residue_uid", "rank", F.coalesce("other", "residue_uid").alias("other"), rounded(F.coalesce(F.sqrt("d2"), F.lit(0.0)), 6).alias("distance"))
 
 
+@query(f"""WITH {RES}, r AS (SELECT a.residue_uid, b.residue_uid AS other, {D2} AS d2, row_number() OVER (PARTITION BY a.residue_uid ORDER BY {D2}, b.residue_uid) AS rank
+  FROM res a JOIN res b ON a.protein_key = b.protein_key AND a.res_id <> b.res_id), k AS (SELECT unnest([1, 2, 3]) AS k), l AS (SELECT protein_key, arg_max(residue_uid, (res_id, residue_uid)) AS last FROM res WHERE res_id IS NOT NULL GROUP BY protein_key)
+SELECT res.residue_uid, CAST(k AS INT) AS rank, coalesce(other, last) AS other, round(coalesce(sqrt(d2), 999), 6) AS distance FROM res CROSS JOIN k LEFT JOIN r ON r.residue_uid = res.residue_uid AND r.rank = k LEFT JOIN l ON l.protein_key = res.protein_key""")
+def knn_padded_last(spark: SparkSession, sf: str) -> DataFrame:
+    """Three neighbours for every residue; where there are fewer, the last of its protein at 999."""
+    near = _knn(spark, sf, 3).select("residue_uid", "rank", "other", "d2")
+    rows = residues(spark, sf)
+    last = rows.where("res_id IS NOT NULL").groupBy("protein_key").agg(F.max(F.struct("res_id", "residue_uid")).alias("l")).select("protein_key", F.col("l.residue_uid").alias("last"))
+    slots = rows.select("protein_key", "residue_uid", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank")).join(last, "protein_key", "left")
+    return slots.join(near, ["residue_uid", "rank"], "left").select("residue_uid", "rank", F.coalesce("other", "last").alias("other"), rounded(F.coalesce(F.sqrt("d2"), F.lit(999.0)), 6).alias("distance"))
+
+
 @query(f"""WITH {STORE}, n AS (SELECT sample_id, CAST(unnest(neighbor_distances) AS DOUBLE) AS d FROM store)
-SELECT sample_id, count(*) AS n, count(*) FILTER (WHERE isfinite(d) AND d < 999) AS valid, round(avg(CASE WHEN isfinite(d) AND d < 999 THEN d ELSE 30 END), 5) AS mean_distance FROM n GROUP BY sample_id""")
+SELECT sample_id, count(*) AS n, count(*) FILTER (WHERE isfinite(d) AND d < 999) AS valid, count(*) FILTER (WHERE isfinite(d) AND d < 1e6) AS finite, round(avg(CASE WHEN isfinite(d) AND d < 999 THEN d ELSE 30 END), 5) AS mean_distance FROM n GROUP BY sample_id""")
 def neighbour_mask(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored neighbours that are valid, and the mean distance with 30 for the others."""
+    """Stored neighbours that are valid (a distance under 999, which stands for none), those that a mask of 1e6 passes, and the mean distance with 30 for the others."""
     d = F.col("d").cast("double")
     ok = ~F.isnan(d) & (F.abs(d) < float("inf")) & (d < 999)
     n = store(spark, sf).select("sample_id", F.explode("neighbor_distances").alias("d"))
-    return n.groupBy("sample_id").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("valid"), rounded(F.avg(F.when(ok, d).otherwise(30.0)), 5).alias("mean_distance"))
+    return n.groupBy("sample_id").agg(F.count("*").alias("n"), F.count(F.when(ok, 1)).alias("valid"), F.count(F.when(~F.isnan(d) & (F.abs(d) < 1e6), 1)).alias("finite"), rounded(F.avg(F.when(ok, d).otherwise(30.0)), 5).alias("mean_distance"))
 
 
 @query(f"""{BASE}, p AS (SELECT protein_key, count(*) AS n, sum(sample_points) AS members FROM ranked GROUP BY protein_key), a AS (SELECT protein_key, count(*) AS points FROM pts GROUP BY protein_key)

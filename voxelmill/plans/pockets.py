@@ -481,8 +481,8 @@ def _evaluated(ranked: DataFrame, grown: DataFrame, site: DataFrame) -> DataFram
     found = match.groupBy(*SETTING, "protein_key").agg(F.min("rank").alias("first"), F.count("*").alias("m"), F.sum("iou").alias("iou"))
     hits = found.groupBy(*SETTING).agg(F.sum("m").alias("matches"), F.sum("iou").alias("iou"), *[F.count_if(F.col("first") <= k).alias(f"hit{k}") for k in (1, 3)])
     made = ranked.groupBy(*SETTING).agg(F.count("*").alias("pockets"), F.countDistinct("protein_key").alias("proteins"))
-    of = sites.agg(F.countDistinct("protein_key").alias("labelled"))
-    rows = made.join(hits, SETTING, "left").fillna(0, ["matches", "iou", "hit1", "hit3"]).crossJoin(F.broadcast(of))
+    labelled = sites.select(F.countDistinct("protein_key")).scalar()
+    rows = made.join(hits, SETTING, "left").fillna(0, ["matches", "iou", "hit1", "hit3"]).withColumn("labelled", labelled)
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return rows.select(*SETTING, "pockets", "proteins", "matches", share("hit1", "labelled").alias("recall_at_1"), share("hit3", "labelled").alias("recall_at_3"), share("iou", "matches").alias("mean_iou"), (F.col("matches") / (F.col("pockets") + 1e-8)).alias("precision"))
 

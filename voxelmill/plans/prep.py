@@ -81,19 +81,26 @@ def chain_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.running_fallback(resolved, ["file_name", "chain"], "point_id", number).select("point_id", "chain", "residue")
 
 
+LONGEST = 24  # signs of an id that is looked for inside keys
+
+
 @query(f"""WITH {IDS}, q AS (SELECT row_id, {STEM} AS name, {entry_code_sql('protein_id')} AS entry FROM ids),
 k AS (SELECT DISTINCT trim(protein_key) AS key FROM proteins), ke AS (SELECT key, {entry_code_sql('key')} AS entry FROM k),
 m AS (SELECT row_id, 1 AS class, key FROM q JOIN k ON name = key UNION ALL SELECT row_id, 2, key FROM q JOIN k ON lower(name) = lower(key)
-  UNION ALL SELECT row_id, 3, key FROM q JOIN k ON lower(name) = lower(regexp_replace(key, '_[A-Za-z]{{1,2}}$', '')) UNION ALL SELECT row_id, 4, key FROM q JOIN ke ON q.entry = ke.entry)
+  UNION ALL SELECT row_id, 3, key FROM q JOIN k ON lower(name) = lower(regexp_replace(key, '_[A-Za-z]{{1,2}}$', '')) UNION ALL SELECT row_id, 4, key FROM q JOIN k ON length(name) BETWEEN 3 AND {LONGEST} AND contains(lower(key), lower(name))
+  UNION ALL SELECT row_id, 5, key FROM q JOIN ke ON q.entry = ke.entry UNION ALL SELECT row_id, 6, (SELECT min(key) FROM k) FROM q WHERE name IS NOT NULL)
 SELECT row_id, CAST(class AS INT) AS class, key FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY class, key) AS r FROM m) WHERE r = 1""")
 def fuzzy_id_match(spark: SparkSession, sf: str) -> DataFrame:
-    """The best key for each id: equal, equal but for case, equal without the chain, or naming the same entry. Every class is an equi-join."""
+    """The best key for each id: equal, equal but for case, equal without the chain, holding the id, naming the same entry, else the first key. Every class but the last is an equi-join; ids inside keys meet the keys' substrings."""
     q = ids(spark, sf).select("row_id", X.stem(F.col("protein_id")).alias("name"), entry_code(F.col("protein_id")).alias("entry"))
-    k = table(spark, sf, "proteins").select(F.trim("protein_key").alias("key")).distinct()
+    k = table(spark, sf, "proteins").select(F.trim("protein_key").alias("key")).where("key IS NOT NULL").distinct()
     keyed = k.select("key", F.lower("key").alias("low"), F.lower(X.strip_chain(F.col("key"))).alias("bare"), entry_code(F.col("key")).alias("code"))
-    match = lambda a, b, c: q.join(keyed, a == b).select("row_id", F.lit(c).alias("class"), "key")
+    inside = keyed.select("key", F.explode(files.substrings(F.col("low"), 3, LONGEST)).alias("part"))
+    match = lambda a, b, c, right=keyed: q.join(right, a == b).select("row_id", F.lit(c).alias("class"), "key")
     low = F.lower("name")
-    every = match(F.col("name"), F.col("key"), 1).union(match(low, F.col("low"), 2)).union(match(low, F.col("bare"), 3)).union(match(F.col("entry"), F.col("code"), 4))
+    every = match(F.col("name"), F.col("key"), 1).union(match(low, F.col("low"), 2)).union(match(low, F.col("bare"), 3)).union(match(low, F.col("part"), 4, inside)).union(match(F.col("entry"), F.col("code"), 5))
+    first = k.select(F.min("key")).scalar()
+    every = every.union(q.where("name IS NOT NULL").select("row_id", F.lit(6).alias("class"), first.alias("key")))
     return every.groupBy("row_id").agg(F.min(F.struct("class", "key")).alias("b")).select("row_id", "b.class", "b.key")
 
 
@@ -188,10 +195,11 @@ def residue_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return structures.sequences(rows, ["protein_key"]).select("protein_key", "sequence", F.size("numbers").cast("long").alias("n"))
 
 
-@query(f"WITH {PTS} SELECT protein_key, residue_number, min(point_id) AS first_point, count(*) AS points FROM pts GROUP BY ALL")
+@query(f"WITH {PTS} SELECT protein_key, residue_number, min(point_id) AS first_point, count(*) AS points, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY point_id) AS ids FROM pts GROUP BY ALL")
 def residue_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Points by protein and residue, the first one standing for it."""
-    return points(spark, sf).groupBy("protein_key", "residue_number").agg(F.min("point_id").alias("first_point"), F.count("*").alias("points"))
+    """Points by protein and residue, the first one standing for it; a residue has few points."""
+    listed = F.concat_ws(",", F.transform(F.array_sort(F.collect_list("point_id")), lambda i: i.cast("string")))
+    return points(spark, sf).groupBy("protein_key", "residue_number").agg(F.min("point_id").alias("first_point"), F.count("*").alias("points"), listed.alias("ids"))
 
 
 @query(f"WITH {PTS} SELECT protein_key, residue_number, max(point_id) AS point_id, arg_max(x, point_id) AS x, arg_max(y, point_id) AS y, arg_max(z, point_id) AS z FROM pts GROUP BY ALL")
@@ -236,3 +244,26 @@ def neighbour_gather(spark: SparkSession, sf: str) -> DataFrame:
     mean = listed.groupBy("sample_id").agg(F.avg("prob").alias("m"), F.count("*").alias("c"))
     out = s.join(mean, "sample_id", "left").join(value, ["protein_key", "point_idx"], "left")
     return out.select("sample_id", rounded(F.coalesce("m", "prob"), 6).alias("context"), F.coalesce("c", F.lit(0)).alias("neighbours"))
+
+
+@query(f"""WITH {PTS}, {RES}, s AS (SELECT DISTINCT ON (sample_id) sample_id, lower(split_part(protein_key, '_', 1)) || '_' || upper(split_part(protein_key, '_', 2)) AS k, point_idx, residue_number, neighbor_resnums FROM sample_store),
+one AS (SELECT protein_key, res_id, avg(rsa) AS v FROM res WHERE rsa IS NOT NULL GROUP BY ALL), n AS (SELECT sample_id, k, unnest(neighbor_resnums) AS i FROM s), a AS (SELECT sample_id, avg(v) AS m, count(*) AS c FROM n JOIN one ON k = protein_key AND i = res_id GROUP BY sample_id)
+SELECT s.sample_id, round(o.v, 6) AS centre, round(coalesce(a.m, o.v), 6) AS residues, coalesce(c, 0) AS found FROM s LEFT JOIN a ON a.sample_id = s.sample_id LEFT JOIN one o ON o.protein_key = s.k AND o.res_id = s.residue_number""")
+def residue_gather(spark: SparkSession, sf: str) -> DataFrame:
+    """The other modes of a sample's context: the value of its own residue, and the mean over the residues that it lists, its own where none is found."""
+    parts = F.split("protein_key", "_")
+    key = X.protein_key(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+    s = table(spark, sf, "sample_store").dropDuplicates(["sample_id"]).select("sample_id", key.alias("protein_key"), F.col("residue_number").alias("res_id"), "neighbor_resnums")
+    value = residues(spark, sf).where("rsa IS NOT NULL").groupBy("protein_key", "res_id").agg(F.avg("rsa").alias("v"))
+    listed = s.select("sample_id", "protein_key", F.explode("neighbor_resnums").alias("res_id")).join(value, ["protein_key", "res_id"]).groupBy("sample_id").agg(F.avg("v").alias("m"), F.count("*").alias("c"))
+    out = s.join(value, ["protein_key", "res_id"], "left").join(listed, "sample_id", "left")
+    return out.select("sample_id", rounded(F.col("v"), 6).alias("centre"), rounded(F.coalesce("m", "v"), 6).alias("residues"), F.coalesce("c", F.lit(0)).alias("found"))
+
+
+@query("""WITH s AS (SELECT DISTINCT ON (sample_id) sample_id, split, label FROM sample_store), o AS (SELECT sample_id FROM s WHERE label = 1 AND sample_id % 2 = 0)
+SELECT sample_id, CAST(unnest([1, 2]) AS INT) AS copy FROM s WHERE split = 0 AND sample_id IN (SELECT sample_id FROM o)""")
+def train_override(spark: SparkSession, sf: str) -> DataFrame:
+    """The training samples that a list names, and only those, each twice."""
+    rows = table(spark, sf, "sample_store").select("sample_id", "split", "label").dropDuplicates(["sample_id"])
+    listed = rows.where("label = 1 AND sample_id % 2 = 0").select("sample_id")  # the list of the test, not a subset of the work
+    return sampling.repeat(rows.where("split = 0").join(listed, "sample_id", "left_semi").select("sample_id"), F.lit(2)).select("sample_id", "copy")
