@@ -158,14 +158,33 @@ near AS (
 SELECT DISTINCT least(a, b) AS point_id_a, greatest(a, b) AS point_id_b FROM near WHERE r <= 3"""
 
 
-def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    """The lists of ``sample_store`` anew: three neighbours of every point, nearest first, ties by index."""
+def p4_neighbour_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three neighbours of every point, nearest first, ties by index: a row each."""
     points = table(spark, sf, "sas_points")
     near = vector_neighbours.nearest_vectors(points, "protein_key", "point_id", ["x", "y", "z"], 3)
     index = points.select("point_id", "protein_key", "point_idx").where("point_id IS NOT NULL").dropDuplicates(["point_id"])
-    named = near.join(index.select(F.col("point_id").alias("b"), "point_idx"), "b")
-    lists = named.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.round("distance", 6).alias("d"), "point_idx"))), 1, 3).alias("n"))
-    return lists.join(index.select(F.col("point_id").alias("a"), "protein_key", F.col("point_idx").alias("own")), "a").select("protein_key", F.col("own").alias("point_idx"), F.col("n.point_idx").alias("neighbor_idx"), F.col("n.d").alias("neighbor_distances"))
+    named = near.join(index.select(F.col("point_id").alias("b"), "point_idx"), "b").select("a", F.round("distance", 6).alias("neighbor_distance"), F.col("point_idx").alias("neighbor_idx"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("neighbor_distance", "neighbor_idx"))
+    three = named.withColumn("place", place).where("place <= 3")
+    return three.join(index.select(F.col("point_id").alias("a"), "protein_key", "point_idx"), "a").select("protein_key", "point_idx", "place", "neighbor_idx", "neighbor_distance")
+
+
+P4_ROWS = """
+WITH pts AS (
+  SELECT DISTINCT ON (point_id) protein_key, point_id, point_idx, x, y, z FROM sas_points
+  WHERE protein_key IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)),
+near AS (
+  SELECT a.protein_key, a.point_id, a.point_idx, b.point_idx AS neighbor_idx, round(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), 6) AS neighbor_distance
+  FROM pts a JOIN pts b ON a.protein_key = b.protein_key AND a.point_id <> b.point_id),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY point_id ORDER BY neighbor_distance, neighbor_idx) AS INT) AS place FROM near)
+SELECT protein_key, point_idx, place, neighbor_idx, neighbor_distance FROM placed WHERE place <= 3"""
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of ``sample_store`` anew."""
+    entry = F.struct("place", "neighbor_idx", "neighbor_distance")
+    lists = p4_neighbour_rows(spark, sf).groupBy("protein_key", "point_idx").agg(F.array_sort(F.collect_list(entry)).alias("n"))
+    return lists.select("protein_key", "point_idx", F.col("n.neighbor_idx").alias("neighbor_idx"), F.col("n.neighbor_distance").alias("neighbor_distances"))
 
 
 def _embedding_index(spark: SparkSession, sf: str) -> vector_index.Index:
@@ -225,7 +244,12 @@ def p6_sites(spark: SparkSession, sf: str) -> DataFrame:
     return spectral.describe_clusters(_sites(spark, sf), "protein_key", "point_id")
 
 
-P6_FOUND = """
+def p6_typical(spark: SparkSession, sf: str) -> DataFrame:
+    """The three most typical points of every site, a row each."""
+    return spectral.typical_members(_sites(spark, sf), "protein_key", "point_id").select("protein_key", "cluster_id", "size", "place", "point_id", F.round("affinity", 6).alias("affinity"))
+
+
+P6 = """
 WITH RECURSIVE pts AS (
   SELECT DISTINCT ON (point_id) protein_key, point_id, x, y, z FROM sas_points
   WHERE protein_key IS NOT NULL AND prob >= 0.88 AND NOT isnan(prob) AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)),
@@ -234,7 +258,12 @@ edges AS (
   ON a.protein_key = b.protein_key AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 9.0),
 walk AS (SELECT point_id AS id, point_id AS reach FROM pts UNION SELECT walk.id, edges.b FROM walk JOIN edges ON walk.reach = edges.a),
 named AS (SELECT id, min(reach) AS cluster_id, count(*) AS size FROM walk GROUP BY id)
-SELECT cluster_id, id AS point_id FROM named WHERE size >= 3"""
+"""
+P6_FOUND = P6 + "SELECT cluster_id, id AS point_id FROM named WHERE size >= 3"
+P6_TYPICAL = P6 + """, felt AS (SELECT a.protein_key, a.point_id, sum(CASE WHEN a.point_id = b.point_id THEN 0.0 ELSE exp(-((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 18) END) AS affinity
+  FROM pts a JOIN pts b ON a.protein_key = b.protein_key AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 9.0 GROUP BY ALL),
+placed AS (SELECT protein_key, cluster_id, size, point_id, affinity, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY round(affinity, 9) DESC, point_id) AS INT) AS place FROM named JOIN felt ON id = point_id WHERE size >= 3)
+SELECT protein_key, cluster_id, size, place, point_id, round(affinity, 6) AS affinity FROM placed WHERE place <= 3"""
 
 
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,12 +297,12 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_forest, p3_split, p3_shares, p4_found, p4_neighbours, p4_embeddings, p4_embedding_recall, p5_found, p5_cutoffs, p6_found, p6_sites, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_top_pockets, p2_found, p2_report, p2_near_classes, p2_members, p3_found, p3_forest, p3_split, p3_shares, p4_found, p4_neighbours, p4_neighbour_rows, p4_embeddings, p4_embedding_recall, p5_found, p5_cutoffs, p6_found, p6_sites, p6_typical, p7_ids, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1.format("protein_key, pocket_id"), "p1_top_pockets": P1.format("protein_key, pocket_id, score, rank, place"),
-        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_near_classes": P2_NEAR, "p2_members": P2_MEMBERS, "p3_found": P3_FOUND, "p3_forest": P3_FOREST, "p4_found": P4_FOUND,
-        "p5_found": P5_FOUND, "p5_cutoffs": P5_CUTOFFS, "p6_found": P6_FOUND,
+        "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_near_classes": P2_NEAR, "p2_members": P2_MEMBERS, "p3_found": P3_FOUND, "p3_forest": P3_FOREST, "p4_found": P4_FOUND, "p4_neighbour_rows": P4_ROWS,
+        "p5_found": P5_FOUND, "p5_cutoffs": P5_CUTOFFS, "p6_found": P6_FOUND, "p6_typical": P6_TYPICAL,
     }

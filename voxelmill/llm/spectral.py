@@ -293,8 +293,13 @@ def similarity_clusters(df: DataFrame, group: str, item: str, axes: list[str], s
     return out(small).union(out(own.join(named, ["g", "node"]).select("g", "i", "c", "inner", "size")))
 
 
+def typical_members(members: DataFrame, group: str, item: str, typical: int = 3) -> DataFrame:
+    """The members of each cluster with the largest affinity to it, with their ``place`` (affinities alike to nine digits: smaller id)."""
+    place = F.row_number().over(Window.partitionBy(group, "cluster_id").orderBy(F.desc(F.round("affinity", 9)), item))
+    return members.withColumn("place", place).where(F.col("place") <= typical)
+
+
 def describe_clusters(members: DataFrame, group: str, item: str, typical: int = 3) -> DataFrame:
-    """``cluster_id, group, size, typical``: each cluster with its most typical members, those of the largest affinity to it (ties: smaller id)."""
-    place = F.row_number().over(Window.partitionBy(group, "cluster_id").orderBy(F.desc("affinity"), item))
-    top = members.withColumn("place", place).where(F.col("place") <= typical)
-    return top.groupBy(group, "cluster_id").agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("place", item))), lambda m: m[item]).alias("typical"))
+    """``cluster_id, group, size, typical``: each cluster with its most typical members."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", item))), lambda m: m[item])
+    return typical_members(members, group, item, typical).groupBy(group, "cluster_id").agg(F.max("size").alias("size"), listed.alias("typical"))
