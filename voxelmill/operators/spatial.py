@@ -79,8 +79,6 @@ def knn_join(queries: DataFrame, points: DataFrame, group: str, query: str, item
     find fewer meet all points of their group if it is small; in larger groups
     they go on with twice the radius, until it spans the data.
     """
-    ends = points.agg(*[f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))]).first()
-    reach = 0.0 if ends["lx"] is None else sum((ends[f"h{a}"] - ends[f"l{a}"]) ** 2 for a in AXES) ** 0.5
     right = points.withColumnRenamed(item, "_item")
     order = Window.partitionBy(group, query).orderBy("d2", "_item")
 
@@ -104,6 +102,10 @@ def knn_join(queries: DataFrame, points: DataFrame, group: str, query: str, item
     found.append(best(whole if exclude is None else whole.where(exclude)))
     large = sizes.where(F.col("count") > SMALL_GROUP).select(group)  # a group without points finds nothing at any radius
     todo = materialize(todo.join(large, group, "left_semi"), "open")
+    if todo.isEmpty():
+        return reduce(DataFrame.unionByName, found)
+    ends = points.agg(*[f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "l"), (F.max, "h"))]).first()
+    reach = sum((ends[f"h{a}"] - ends[f"l{a}"]) ** 2 for a in AXES) ** 0.5
     while not todo.isEmpty():
         radius *= 2
         top = materialize(best(radius_join(todo, right, group, radius, exclude)), "knn")

@@ -84,7 +84,7 @@ def hard_replay(spark: SparkSession, sf: str) -> DataFrame:
 SELECT feature, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS std, min(v) AS least, round(quantile_cont(v, 0.25), 5) AS q1, round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.75), 5) AS q3, max(v) AS most, count(DISTINCT v) AS values FROM l GROUP BY feature""")
 def feature_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Moments, quartiles, extremes and distinct values of each feature."""
-    rows = points(spark, sf).select(F.expr("stack(4, 'x', x, 'y', y, 'z', z, 'prob', prob) AS (feature, v)"))
+    rows = materialize(points(spark, sf).select("x", "y", "z", "prob"), "points").select(F.expr("stack(4, 'x', x, 'y', y, 'z', z, 'prob', prob) AS (feature, v)"))
     sums = rows.groupBy("feature").agg(rounded(F.avg("v"), 5).alias("mean"), rounded(F.stddev_samp("v"), 5).alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
     # distinct values are told apart by ranges, so that no task holds those of a feature
     distinct = rows.groupBy("feature", "v").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("*").alias("values"))

@@ -8,6 +8,7 @@ from voxelmill.functions.expressions import falloff, neighbour_weights, rounded
 from voxelmill.operators import spatial
 from voxelmill.operators.graph import knn_graph
 from voxelmill.plans.registry import PTS, RES, points, query, residues
+from voxelmill.storage import materialize
 
 D2 = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
 
@@ -48,7 +49,7 @@ def ligand_label(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _knn(spark: SparkSession, sf: str, k: int, exclude: bool = True, radius: float = 8.0) -> DataFrame:
-    rows = residues(spark, sf)
+    rows = materialize(residues(spark, sf), "residues")
     left = rows.select("protein_key", "residue_uid", F.col("res_id").alias("own"), "x", "y", "z")
     right = rows.select("protein_key", F.col("residue_uid").alias("other"), "res_id", "x", "y", "z")
     return spatial.knn_join(left, right, "protein_key", "residue_uid", "other", k, radius, F.col("own") != F.col("res_id") if exclude else None)
@@ -112,7 +113,7 @@ def knn_radius_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The 16 nearest within 8 A suffice for a graph cut there, so the radius isn't widened."""
-    rows = residues(spark, sf)
+    rows = materialize(residues(spark, sf).select("protein_key", "residue_uid", "x", "y", "z").distinct(), "residues")
     near = spatial.radius_join(rows.select("protein_key", "residue_uid", "x", "y", "z"), rows.select("protein_key", F.col("residue_uid").alias("other"), "x", "y", "z"), "protein_key", 8.0)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("residue_uid").orderBy("d2", "other"))).where("rank <= 16")
 
