@@ -1,8 +1,8 @@
 """Joins by distance inside a group.
 
 A radius join is an equi-join on (group, grid cell): one side is placed in its
-cell, the other in the 27 cells around, and the distance decides. No group is
-gathered in a task and no pair outside neighbouring cells is formed.
+cell, the other in all cells that its ball meets, and the distance decides. No
+group is gathered in a task and no pair outside neighbouring cells is formed.
 """
 
 from __future__ import annotations
@@ -17,11 +17,17 @@ from voxelmill.storage import materialize
 AXES = ("x", "y", "z")
 
 
+#: Side of a cell in radii. At 3 a point's ball meets 4.6 cells on the average, and no more pairs are looked at than with the 27 cells of side 1 around it.
+SIDE = 3.0
+
+
 def in_cells(df: DataFrame, radius: float, spread: bool = False, axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Adds ``cell_x, cell_y, cell_z``; with ``spread``, a row for each of the 27 cells around."""
+    """Adds ``cell_x, cell_y, cell_z``; with ``spread``, a row for each cell that the ball of the radius meets."""
+    side, reach = SIDE * radius, radius * (1 + 1e-9)
     for axis, name in zip(AXES, axes):
-        own = F.floor(F.col(name) / radius).cast("long")
-        df = df.withColumn(f"cell_{axis}", F.explode(F.sequence(own - 1, own + 1)) if spread else own)
+        cell = lambda v: F.floor(v / side).cast("long")
+        own = F.explode(F.sequence(cell(F.col(name) - reach), cell(F.col(name) + reach))) if spread else cell(F.col(name))
+        df = df.withColumn(f"cell_{axis}", own)
     return df
 
 
@@ -30,8 +36,8 @@ def radius_join(left: DataFrame, right: DataFrame, group: str, radius: float, co
 
     left has ``group, x, y, z`` and columns of its own; those of right must
     differ, but for ``group`` and the coordinates, which come back as
-    ``rx, ry, rz``. ``spread`` names the side that is put into the cells
-    around: the smaller one.
+    ``rx, ry, rz``. ``spread`` names the side that is put into several
+    cells: the smaller one.
     """
     away = tuple(f"r{a}" for a in AXES)
     right = right.select(*[c for c in right.columns if c not in AXES], *[F.col(a).alias(r) for a, r in zip(AXES, away)])
@@ -44,19 +50,11 @@ def radius_join(left: DataFrame, right: DataFrame, group: str, radius: float, co
     return pairs.drop(*keys[1:])
 
 
-#: A cell and half of those around it: two cells meet once.
-HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
-
-
 def radius_pairs(points: DataFrame, group: str, item: str, radius: float) -> DataFrame:
     """``group, a, b, d2`` with a < b within ``radius``."""
-    rows = in_cells(points.select(group, item, *AXES), radius)
-    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(step, AXES)]) for step in HALF])
-    left = rows.select("*", F.explode(steps).alias("_s")).select(group, F.col(item).alias("_a"), *AXES, (F.expr("_s.dx = 0 AND _s.dy = 0 AND _s.dz = 0")).alias("_same"), *[(F.col(f"cell_{a}") + F.col(f"_s.d{a}")).alias(f"cell_{a}") for a in AXES])
-    right = rows.select(group, F.col(item).alias("_b"), *[F.col(a).alias(f"r{a}") for a in AXES], *(f"cell_{a}" for a in AXES))
-    d2 = distance2([F.col(a) for a in AXES], [F.col(f"r{a}") for a in AXES])
-    pairs = left.join(right, [group, *(f"cell_{a}" for a in AXES)]).where("NOT _same OR _a < _b").withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return pairs.select(group, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "d2").where("a < b")
+    left = points.select(group, F.col(item).alias("a"), *AXES)
+    right = points.select(group, F.col(item).alias("b"), *AXES)
+    return radius_join(left, right, group, radius, F.col("a") < F.col("b")).select(group, "a", "b", "d2")
 
 
 def grow(core: DataFrame, points: DataFrame, group: str, cluster: str, item: str, radius: float) -> DataFrame:

@@ -48,7 +48,8 @@ atoms AS (SELECT protein_key, residue_uid * 4 + k AS atom, res_id, rsd.res, coal
 
 
 def parsed_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    return structures.parse_atoms(structure_lines(spark, sf))
+    """Atoms read from the text, which is written first: every column is cut out of a stored line."""
+    return structures.parse_atoms(materialize(structure_lines(spark, sf), "lines"))
 
 
 def _kind_values() -> tuple[str, str]:
