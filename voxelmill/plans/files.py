@@ -325,16 +325,40 @@ def substring_join(spark: SparkSession, sf: str) -> DataFrame:
 SELECT t.protein_key, wanted, arg_min(res_id, (abs(res_id - wanted), res_id)) AS taken FROM t JOIN (SELECT DISTINCT protein_key, res_id FROM res WHERE res_id IS NOT NULL) r ON r.protein_key = t.protein_key GROUP BY t.protein_key, wanted""")
 def closest_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """For each residue that is asked for the one of its number, else the closest, the lower of equals."""
-    parts = F.split("protein_key", "_")
-    key = X.protein_key(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
-    wanted = table(spark, sf, "sample_store").where("residue_number IS NOT NULL").select(key.alias("protein_key"), F.col("residue_number").alias("n")).distinct()
-    have = residues(spark, sf).where("res_id IS NOT NULL").select("protein_key", F.col("res_id").alias("n")).distinct().withColumn("own", F.col("n"))
-    both = wanted.withColumn("own", F.lit(None).cast("int")).withColumn("asked", F.lit(True)).unionByName(have.withColumn("asked", F.lit(False)))
-    w = Window.partitionBy("protein_key").orderBy("n", "asked")
-    below, above = F.last("own", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("own", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("b", below).withColumn("a", above).where("asked AND (a IS NOT NULL OR b IS NOT NULL)")
-    low = F.col("a").isNull() | (F.col("b").isNotNull() & (F.col("n") - F.col("b") <= F.col("a") - F.col("n")))
-    return near.select("protein_key", F.col("n").alias("wanted"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("taken"))
+    part = lambda k: F.split_part(F.col("protein_key"), F.lit("_"), F.lit(k))
+    key = X.protein_key(part(1), part(2))
+    wanted = table(spark, sf, "sample_store").where("residue_number IS NOT NULL").select(key.alias("protein_key"), F.col("residue_number").alias("n"))
+    have = residues(spark, sf).where("res_id IS NOT NULL").select("protein_key", F.col("res_id").alias("n"))
+    return closest(wanted, have)
+
+
+#: Residue numbers that are ordered in one task at most.
+STRETCH = 1 << 14
+
+
+def closest(wanted: DataFrame, have: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """``protein_key, wanted, taken`` of two tables of ``protein_key, n``.
+
+    A protein is cut into stretches of numbers. Each stretch gets the last
+    number that its protein has before it and the first one behind it as rows
+    of its own, so it can be ordered without the others. All frames begin at
+    the first row: one that reaches to the last is read anew for every row.
+    """
+    rows = lambda df, asked: df.where("protein_key IS NOT NULL").distinct().withColumn("asked", F.lit(asked))
+    both = rows(wanted, True).unionByName(rows(have, False)).withColumn("at", F.floor(F.col("n") / stretch))
+    own = F.when(~F.col("asked"), F.col("n"))
+    ends = both.groupBy("protein_key", "at").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    up, down = Window.partitionBy("protein_key").orderBy("at"), Window.partitionBy("protein_key").orderBy(F.desc("at"))
+    outside = lambda name, w: F.last(name, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    beyond = ends.withColumn("b", outside("high", up)).withColumn("a", outside("low", down))
+    carried = beyond.select("protein_key", "at", F.explode(F.array("b", "a")).alias("n")).where("n IS NOT NULL")
+    every = both.unionByName(carried.withColumn("asked", F.lit(False))).withColumn("own", own)
+    here = Window.partitionBy("protein_key", "at")
+    near = lambda *order: F.last("own", True).over(here.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    told = every.withColumn("b", near("n", "asked")).withColumn("a", near(F.desc("n"), "asked")).where("asked AND (a IS NOT NULL OR b IS NOT NULL)")
+    n, a, b = (F.col(c).cast("long") for c in "nab")
+    low = F.col("a").isNull() | (F.col("b").isNotNull() & (n - b <= a - n))
+    return told.select("protein_key", F.col("n").alias("wanted"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("taken"))
 
 
 @query(f"""WITH {SCORED}, {PTS}, auc AS (SELECT p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg FROM scored GROUP BY p), st AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM auc)
