@@ -7,11 +7,16 @@ group is gathered in a task and no pair outside neighbouring cells is formed.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelmill.functions.expressions import distance2
+from voxelmill.operators import kernels
+from voxelmill.operators.grouped import map_groups
 from voxelmill.storage import materialize
 
 AXES = ("x", "y", "z")
@@ -140,3 +145,65 @@ def sphere_points(atoms: DataFrame, density: float) -> DataFrame:
     flat = F.sqrt(F.greatest(F.lit(0.0), 1 - y * y))
     angle = F.lit(2 * 3.141592653589793 / 1.618033988749895) * F.col("k")
     return rows.select(*[c for c in atoms.columns if c not in AXES], "k", (F.col("x") + F.col("r") * F.cos(angle) * flat).alias("x"), (F.col("y") + F.col("r") * y).alias("y"), (F.col("z") + F.col("r") * F.sin(angle) * flat).alias("z"))
+
+
+#: Side of a block of spheres in radii of the widest, pairs of spheres whose sample points are looked at together, and how far out places are told apart.
+BLOCK, TOUCHING, FAR = 40.0, 1 << 15, 1e9
+
+
+def exposure(spheres: DataFrame, group: str, owner: str, density: float, widest: float) -> DataFrame:
+    """``owner, exposed``, a row per sphere: its points of ``sphere_points`` that lie strictly inside no sphere of another owner of its group.
+
+    spheres: ``group, owner, x, y, z, r`` with r up to ``widest``. Sample
+    points are never rows: spheres go to blocks of space, with copies of those
+    that reach in from beside, and each block meets its own pairs. A sphere
+    without group or owner hides nothing and is not hidden.
+    """
+    side, reach = BLOCK * widest, 2.02 * widest
+    block = lambda v: F.floor(v / side + 0.5).cast("long")
+    rows = spheres.select(group, owner, *AXES, "r", *[block(F.col(a)).alias(f"own_{a}") for a in AXES])
+    for a in AXES:
+        rows = rows.withColumn(f"block_{a}", F.explode(F.sequence(block(F.col(a) - reach), block(F.col(a) + reach))))
+    own = reduce(Column.__and__, [F.col(f"own_{a}") == F.col(f"block_{a}") for a in AXES])
+    keys = [group, *(f"block_{a}" for a in AXES)]
+    kind = dict(spheres.dtypes)[owner]
+    return map_groups(rows.select(*keys, owner, *AXES, "r", own.alias("own")), keys, partial(_exposure_kernel, group, owner, density, reach), f"`{owner}` {kind}, exposed long")
+
+
+def _unit_points(n: int) -> np.ndarray:
+    """Factors of r in the offsets of n points, as ``sphere_points`` has them: ``cos, flat, y, sin``."""
+    y = [1 - 2.0 * k / (n - 1) for k in range(n)]
+    angle = [2 * 3.141592653589793 / 1.618033988749895 * k for k in range(n)]
+    return np.array([[math.cos(a), math.sqrt(max(0.0, 1 - v * v)), v, math.sin(a)] for v, a in zip(y, angle)])
+
+
+def _exposure_kernel(group: str, owner: str, density: float, reach: float, table: pa.Table, starts: np.ndarray) -> pa.Table:
+    x = np.stack([table.column(a).to_numpy() for a in AXES], 1)
+    r, own = table.column("r").to_numpy(), table.column("own").to_numpy()
+    named = table.column(owner).combine_chunks()
+    who = named.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    n = np.maximum(10, np.trunc(r * r * density).astype(np.int64))
+    radii, size = np.unique(r, return_inverse=True)
+    most = int(n.max())
+    offset = np.full((len(radii), most, 3), np.nan)
+    for k, v in enumerate(radii):
+        unit = _unit_points(int(n[np.argmax(size == k)]))
+        offset[k, : len(unit)] = np.stack([v * unit[:, 0] * unit[:, 1], v * unit[:, 2], v * unit[:, 3] * unit[:, 1]], 1)
+    hidden, free = np.zeros((len(x), most), bool), own.copy()
+    part = np.flatnonzero((who >= 0) & table.column(group).is_valid().to_numpy())
+    where = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[part]
+    for i, j, _ in kernels.radius_pair_blocks(np.clip(x[part], -FAR, FAR), where, reach, TOUCHING * 8):
+        i, j = part[i], part[j]
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        meet = free[i] & (who[i] != who[j])
+        i, j = i[meet], j[meet]
+        for at in range(0, len(i), TOUCHING):
+            a, b = i[at : at + TOUCHING], j[at : at + TOUCHING]
+            a, b = a[free[a]], b[free[a]]
+            d = [(x[a, c, None] + offset[size[a], :, c]) - x[b, c, None] for c in range(3)]
+            row, k = np.nonzero(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < (r[b] * r[b])[:, None])
+            hidden[a[row], k] = True
+            met = np.unique(a)
+            free[met] = hidden[met].sum(1) < n[met]
+    left = n - hidden.sum(1)
+    return pa.table({owner: named, "exposed": left}).filter(pa.array(own))

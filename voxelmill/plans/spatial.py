@@ -136,8 +136,8 @@ SELECT owner, count(*) AS exposed FROM smp a WHERE NOT EXISTS (SELECT 1 FROM bal
 def surface_occlusion(spark: SparkSession, sf: str) -> DataFrame:
     """Sphere points of each residue that lie inside no other residue's sphere."""
     balls = residues(spark, sf).select("protein_key", F.col("residue_uid").alias("owner"), "x", "y", "z", F.lit(1.8).alias("r"))
-    free = spatial.exposed(spatial.sphere_points(balls, 5.0), balls, "protein_key", "owner")
-    return free.groupBy("owner").agg(F.count("*").alias("exposed"))
+    free = spatial.exposure(balls, "protein_key", "owner", 5.0, 1.8).where("exposed > 0")
+    return free.groupBy("owner").agg(F.sum("exposed").alias("exposed"))
 
 
 @query(f"""WITH {RES},
